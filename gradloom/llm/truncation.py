@@ -53,11 +53,14 @@ def gram_counts(toks: DataFrame) -> DataFrame:
     """
     sql = """
     WITH at AS (
-      SELECT explode(array_distinct(flatten(transform(sequence(3, size(t)), i -> transform(array(1, 2, 3), n -> struct(
-        n, array_join(slice(t, i - n + 1, n - 1), ' ') AS before, t[i - 1] AS word, i = size(t) OR get(t, i) = '\n' AS ends)))))) AS g
-      FROM {toks} WHERE size(t) > 2)
-    SELECT g.n, g.before, g.word, sum(CASE WHEN g.ends THEN 0 ELSE 1 END) AS inside, sum(CASE WHEN g.ends THEN 1 ELSE 0 END) AS at_end
-    FROM at WHERE g.word <> '\n' GROUP BY g.n, g.before, g.word
+      SELECT explode(array_distinct(flatten(transform(sequence(3, size(t)), i -> transform(array(1, 2, 3), n -> concat_ws('\x1f',
+        n, array_join(slice(t, i - n + 1, n - 1), ' '), t[i - 1], i = size(t) OR get(t, i) = '\n')))))) AS g
+      FROM {toks} WHERE size(t) > 2),
+    once AS (SELECT g, count(*) AS k FROM at GROUP BY g),
+    parted AS (SELECT split(g, '\x1f') AS p, k FROM once)
+    SELECT int(p[0]) AS n, p[1] AS before, p[2] AS word,
+           sum(CASE WHEN p[3] = 'true' THEN 0 ELSE k END) AS inside, sum(CASE WHEN p[3] = 'true' THEN k ELSE 0 END) AS at_end
+    FROM parted WHERE p[2] <> '\n' GROUP BY p[0], p[1], p[2]
     """
     return toks.sparkSession.sql(sql, toks=toks)
 
