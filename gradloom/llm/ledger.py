@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Pools whose ranks are counted in one task at most: keys of one arrival bucket and hash slice.
-SLICES = 64
+#: Rows of one hour and pool beyond which the hour is parted further.
+BUCKET_ROWS = 100_000
 
 LEDGER = T.StructType(
     [
@@ -26,8 +26,13 @@ def ranked(candidates: DataFrame) -> DataFrame:
     themselves. So a pool that holds all rows is spread over many tasks. A bucket is one day of arrivals and, within
     equal arrivals only, a slice of the hash range.
     """
-    day = F.coalesce(F.date_trunc("hour", "arrival"), F.lit("1970-01-01").cast("timestamp"))
-    rows = candidates.withColumn("_bucket", day).withColumn("_arrival", F.coalesce("arrival", F.lit("1970-01-01").cast("timestamp")))
+    arrival = F.coalesce("arrival", F.lit("1970-01-01").cast("timestamp"))
+    rows = candidates.withColumn("_arrival", arrival).withColumn("_bucket", F.struct(F.date_trunc("hour", arrival).alias("hour"), F.lit("").alias("slice")))
+    # An hour that alone holds many rows, a bulk load say, has its rows by arrival and two hash digits.
+    crowded = rows.groupBy("pool", "_bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS).select("pool", "_bucket", F.lit(True).alias("_crowded"))
+    rows = rows.join(crowded, ["pool", "_bucket"], "left")
+    fine = F.struct(F.col("_arrival").alias("hour"), F.substring("priority", 1, 2).alias("slice"))
+    rows = rows.withColumn("_bucket", F.when(F.col("_crowded"), fine).otherwise(F.col("_bucket"))).drop("_crowded")
     counts = rows.groupBy("pool", "_bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("pool").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -53,7 +58,7 @@ def grow(ledger: DataFrame, candidates: DataFrame, quotas: DataFrame) -> DataFra
     kept = ledger.groupBy("pool").agg(F.count("*").alias("kept"))
     unseen = first.join(ledger.select("pool", "key"), ["pool", "key"], "left_anti")
     wanted = quotas.join(kept, "pool", "left").select("pool", "quota", "seed", F.coalesce("kept", F.lit(0)).alias("kept"))
-    priority = F.xxhash64("pool", "seed", "key")
+    priority = F.sha2(F.concat_ws("|", "pool", "seed", "key"), 256)
     ordered = ranked(unseen.join(wanted, "pool").withColumn("priority", priority))
     fresh = ordered.filter("quota is null or rank <= quota - kept").select("pool", "key", (F.col("kept") + F.col("rank")).alias("rank"))
     return ledger.select("pool", "key", "rank").unionByName(fresh)

@@ -1,6 +1,28 @@
 """SQL, for DuckDB, of the training-data queries that SQL can express over whole tables."""
 
+
+def _leaf(x: str) -> str:
+    """The normal form of a string, without look-around: signs and points that belong to numbers are marked before punctuation goes."""
+    minus = f"regexp_replace(regexp_replace(lower(replace({x}, chr(8722), '-')), '([\\p{{L}}\\p{{N}}])-', '\\1 ', 'g'), '-(\\.?\\p{{Nd}})', chr(1) || '\\1', 'g')"
+    point = f"regexp_replace(regexp_replace({minus}, '(^|[^\\p{{L}}])\\.(\\p{{Nd}})', '\\1' || chr(2) || '\\2', 'g'), '(^|[^\\p{{L}}])\\.(\\p{{Nd}})', '\\1' || chr(2) || '\\2', 'g')"
+    return f"regexp_replace({point}, '[^\\p{{L}}\\p{{N}}\\p{{M}}\\x01\\x02]|[\\x{{FE00}}-\\x{{FE0F}}\\x{{34F}}\\x{{115F}}\\x{{1160}}\\x{{3164}}]', '', 'g')"
+
+
+_RECORDS = f"""n AS (SELECT row_no, {_leaf('payload.question')} AS q, list_transform(payload.choices, lambda c: {_leaf('c')}) AS c, payload.answer_index AS a, {_leaf('payload.subject')} AS s
+  FROM mmlu WHERE payload.question IS NOT NULL),
+ g AS (SELECT row_no, min(row_no) OVER (PARTITION BY q, c, a, s) AS first_row_no, count(*) OVER (PARTITION BY q, c, a, s) AS copies FROM n)"""
+_ALL = " UNION ALL ".join(f"SELECT dataset, split, example_id, added_at FROM {t}" for t in ("arc_easy", "mmlu", "gsm8k", "wikitext"))
+
 ORACLE = {
+    "p2_found": f"WITH {_RECORDS} SELECT first_row_no, row_no FROM g WHERE row_no <> first_row_no",
+    "p2_records": f"WITH {_RECORDS} SELECT DISTINCT first_row_no, copies FROM g",
+    "p5_sample": f"""WITH asked AS (SELECT DISTINCT sweep_id, t.dataset AS dataset, t.split AS split, quota, coalesce(seed, 0) AS seed
+          FROM (SELECT sweep_id, spec."limit" AS quota, spec.seed AS seed, unnest(spec.targets) AS t FROM sweep_specs)),
+        keys AS (SELECT dataset, split, example_id, min(added_at) AS arrival FROM ({_ALL}) WHERE example_id IS NOT NULL GROUP BY ALL),
+        ranked AS (SELECT dataset, split, seed, example_id, row_number() OVER (PARTITION BY dataset, split, seed
+            ORDER BY coalesce(arrival, TIMESTAMPTZ '1970-01-01 00:00:00+00'), sha256(dataset || '|' || split || '|' || seed || '|' || seed || '|' || example_id), example_id) AS r
+          FROM keys JOIN (SELECT DISTINCT dataset, split, seed FROM asked) USING (dataset, split))
+        SELECT sweep_id, dataset, split, example_id FROM asked JOIN ranked USING (dataset, split, seed) WHERE quota IS NULL OR r <= quota""",
     "p7_found": """
         SELECT DISTINCT 'wikitext' AS source_table, '' AS run_id, example_id FROM wikitext WHERE length(payload.text) > 4000
         UNION
