@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import RESULT, RUN
+from ..schemas import RESULT, RUN, RUN_FIELDS
 from .evaluators import ANSWER
 
 _CACHE = f"request_hash string, answer {ANSWER}, model_id string, revision string"
@@ -37,8 +37,8 @@ class Warehouse:
     def save_run(self, run: dict) -> None:
         """Append a version of a run."""
         last = self._read("runs", RUN).agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-        row = {f.name: run.get(f.name) for f in RUN.fields} | {"seq": last + 1}
-        self.spark.createDataFrame([tuple(row[f.name] for f in RUN.fields)], RUN).coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
+        row = {f: run.get(f) for f in RUN_FIELDS} | {"seq": last + 1}
+        self.spark.createDataFrame([tuple(row[f] for f in RUN_FIELDS)], RUN).coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
 
     def runs(self) -> DataFrame:
         """Current runs; ``seq`` orders them by last write."""

@@ -11,7 +11,6 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import __version__
 from ..operators import evaluators, metrics
@@ -20,7 +19,7 @@ from ..operators.store import PredictionCache, Warehouse
 from ..sources.datasets import get_loader
 
 KEYS = ("model_id", "revision", "dataset", "split", "variant", "evaluator", "limit", "seed")
-PLAN = T.StructType.fromDDL("ord int, model_id string, revision string, dataset string, split string, variant string, evaluator string, `limit` int, seed int")
+PLAN = "ord int, model_id string, revision string, dataset string, split string, variant string, evaluator string, limit int, seed int"
 
 
 @dataclass(frozen=True)

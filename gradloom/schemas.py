@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 MC_PAYLOAD = "question string, context string, choices array<string>, answer_index int, subject string"
 CLOZE_PAYLOAD = "context string, target string"
 GENERATIVE_PAYLOAD = "question string, answer_number double"
@@ -20,22 +18,23 @@ PAYLOADS = {
 }
 
 
-def example_schema(dataset: str) -> T.StructType:
+def example_schema(dataset: str) -> str:
     """The envelope of a dataset's examples, with its payload."""
-    return T.StructType.fromDDL(f"dataset string, split string, example_id string, payload struct<{PAYLOADS[dataset].replace(' ', ':').replace(',:', ',')}>")
+    fields = ", ".join(f.replace(" ", ": ", 1) for f in PAYLOADS[dataset].split(", "))
+    return f"dataset string, split string, example_id string, payload struct<{fields}>"
 
 
-GEN_PARAMS = T.StructType.fromDDL("max_new_tokens int, stop array<string>, temperature double")
-PREDICTION = T.StructType.fromDDL(
+PREDICTION = (
     "request_hash string, model_id string, revision string, logliks array<double>, token_nlls array<double>, "
     "generation string, n_bytes bigint, is_greedy_matches array<boolean>, n_tokens array<int>"
 )
-RESULT = T.StructType.fromDDL("run_id string, example_id string, correct boolean, score double, detail_json string, ord bigint")
-RUN = T.StructType.fromDDL(
+RESULT = "run_id string, example_id string, correct boolean, score double, detail_json string, ord bigint"
+RUN = (
     "run_id string, model_id string, revision string, dataset string, split string, prompt_variant_id string, evaluator string, "
     "framework string, seed int, code_version string, metrics map<string,double>, config_json string, n_examples int, "
     "started_at string, finished_at string, status string, seq bigint"
 )
+RUN_FIELDS = tuple(f.split()[0] for f in RUN.split(", "))
 
 STATUSES = ("running", "done", "failed")
 REQUEST_KINDS = ("loglik", "generate", "nll")
