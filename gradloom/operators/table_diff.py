@@ -215,14 +215,16 @@ def parity_differences(runs: DataFrame, results: DataFrame) -> DataFrame:
     rows = prints.join(sides, "run_id").select("grp", F.col("example_id").alias("key"), "side", "fp")
     open_keys = differing_keys(rows)
     # Only now, for the few keys left, are the values read.
-    picked = sides.join(open_keys, "grp").select("run_id", F.col("key").alias("example_id")).distinct()
+    # A ladder run may be repeated by several harness runs, so a key is open for the one pair only.
+    wanted_of = sides.join(open_keys, "grp").select("run_id", F.col("key").alias("example_id"), "grp", "side")
+    picked = wanted_of.select("run_id", "example_id").distinct()
     # Ties in time fall to the same row as above, the one with the greatest fingerprint.
     values = latest_rows(
         plain.join(picked, ["run_id", "example_id"], "left_semi").withColumn("fp", row_fingerprint(F.col("correct"), score, F.col("detail_json"))),
         ["run_id", "example_id"],
         ["recorded_at", "fp"],
     )
-    seen = values.join(sides, "run_id").select(
+    seen = values.join(wanted_of, ["run_id", "example_id"]).select(
         "grp", F.col("example_id").alias("key"), "side", F.struct("correct", "score", "detail_json").alias("v")
     )
     both = seen.groupBy("grp", "key").agg(
