@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
+
 #: Rows that the rolling hash spans, and the mean length of a chunk.
 ROLL_ROWS = 4
 CHUNK_ROWS = 32
@@ -198,7 +200,7 @@ def parity_differences(runs: DataFrame, results: DataFrame) -> DataFrame:
     without ``run_id`` or ``example_id`` are no example. Empty tables give no rows; further columns of the
     inputs are ignored.
     """
-    pairs = parity_pairs(runs)
+    pairs = materialise(parity_pairs(runs), "parity-pairs")
     sides = pairs.select(F.col("harness").alias("grp"), F.col("ladder").alias("run_id"), F.lit(0).alias("side")).unionByName(
         pairs.select(F.col("harness").alias("grp"), F.col("harness").alias("run_id"), F.lit(1).alias("side"))
     )
@@ -213,7 +215,7 @@ def parity_differences(runs: DataFrame, results: DataFrame) -> DataFrame:
         ["recorded_at"],
     )
     rows = prints.join(sides, "run_id").select("grp", F.col("example_id").alias("key"), "side", "fp")
-    open_keys = differing_keys(rows)
+    open_keys = materialise(differing_keys(rows), "parity-keys")
     # Only now, for the few keys left, are the values read.
     # A ladder run may be repeated by several harness runs, so a key is open for the one pair only.
     wanted_of = sides.join(open_keys, "grp").select("run_id", F.col("key").alias("example_id"), "grp", "side")
