@@ -222,7 +222,7 @@ def parity_differences(runs: DataFrame, results: DataFrame) -> DataFrame:
     picked = wanted_of.select("run_id", "example_id").distinct()
     # Ties in time fall to the same row as above, the one with the greatest fingerprint.
     values = latest_rows(
-        plain.join(picked, ["run_id", "example_id"], "left_semi").withColumn("fp", row_fingerprint(F.col("correct"), score, F.col("detail_json"))),
+        wanted.join(picked, ["run_id", "example_id"], "left_semi").withColumn("fp", row_fingerprint(F.col("correct"), score, F.col("detail_json"))),
         ["run_id", "example_id"],
         ["recorded_at", "fp"],
     )
