@@ -15,7 +15,7 @@ from gradloom.llm import merkle, repetition, splitting, truncation
     ("text", "share"),
     [
         (None, None), ("", 0.0), ("   \n", 0.0), ("one two three four five", 0.0),
-        ("a b c d a b c d", 0.5), ("A, b c d! a B (c) D", 0.6),
+        ("a b c d a b c d", 0.5), ("A, b c d! a B (c) D", 0.5),
         ("ha" * 20, 1.0), ("the the the the the the the the", 1.0),
     ],
 )
