@@ -16,14 +16,18 @@ OFTEN_INSIDE = 200
 NEVER_SHARE = 0.02
 #: A last word is the beginning of another if that one follows the same two words this many times as often.
 PREFIX_TIMES = 3
+#: or, after whatever words, if that one is used this many times as often.
+PREFIX_TIMES_ALONE = 200
 
 #: Capitalised words within a sentence or after a colon stand for names, numbers for numbers.
 _NAME = r"(?<=[\p{L},;:)] )\p{Lu}(?:\p{Ll}[\p{L}\p{M}]*|$)"
 _NUMBER = r"-?\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?"
-_NUMBER_WORD = (
-    r"(?i)\b(one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen"
-    r"|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand)\b"
-)
+NUMBER_WORDS = (
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand"
+).split()
+#: In lower case only: a sentence that begins with one is no number.
+_NUMBER_WORD = rf"\b({'|'.join(NUMBER_WORDS)})\b"
 #: Tokens: words with inner hyphens or apostrophes, numbers, runs of one mark, single marks, line ends.
 _TOKENS = r"(\p{L}[\p{L}\p{M}]*(?:['’-]\p{L}+)*|#+|\*+|`+|=+|\n+|[^\s\p{L}])"
 #: What alone shows a cut: a mark of it, half a character or escape, a mark that must be followed by something.
@@ -89,14 +93,18 @@ def cut_off(texts: DataFrame) -> DataFrame:
     begun = spark.sql(
         """
         WITH usual AS (
-          SELECT before, left(word, p) AS word, max(inside + at_end) AS uses
+          SELECT n, before, left(word, p) AS word, max(inside + at_end) AS uses
           FROM {counts} LATERAL VIEW explode(sequence(1, greatest(length(word) - 1, 1))) AS p
-          WHERE n = 3 AND length(word) > p AND inside + at_end >= {times} GROUP BY before, left(word, p)),
+          WHERE n IN (1, 3) AND length(word) > p AND inside + at_end >= {times} GROUP BY n, before, left(word, p)),
+        number AS (
+          SELECT DISTINCT 1 AS n, '' AS before, left(w, p) AS word, (SELECT max(inside + at_end) FROM {counts} WHERE n = 1 AND word = '0') AS uses
+          FROM (SELECT explode(split('{numbers}', ' ')) AS w) LATERAL VIEW explode(sequence(1, length(w) - 1)) AS p),
         whole AS (SELECT word FROM {counts} WHERE n = 1 AND inside >= {times} * at_end)
-        SELECT c.before, c.word FROM {counts} c JOIN usual u ON c.before = u.before AND c.word = u.word
+        SELECT DISTINCT c.n, c.before, c.word FROM {counts} c
+        JOIN (SELECT * FROM usual UNION ALL SELECT * FROM number) u ON c.n = u.n AND c.before = u.before AND c.word = u.word
         LEFT ANTI JOIN whole w ON c.word = w.word
-        WHERE c.n = 3 AND u.uses >= {times} * (c.inside + c.at_end)
-        """.replace("{times}", str(PREFIX_TIMES)),
+        WHERE u.uses >= CASE WHEN c.n = 3 THEN {times} ELSE {alone} END * (c.inside + c.at_end)
+        """.replace("{times}", str(PREFIX_TIMES)).replace("{alone}", str(PREFIX_TIMES_ALONE)).replace("{numbers}", " ".join(NUMBER_WORDS)),
         counts=counts,
     )
     return spark.sql(
@@ -107,8 +115,8 @@ def cut_off(texts: DataFrame) -> DataFrame:
         best AS (
           SELECT id, max_by(struct(inside, at_end), CASE WHEN inside + at_end >= {least} THEN n END) AS b
           FROM judged GROUP BY id),
-        never AS (SELECT id FROM judged WHERE n = 1 AND inside >= {often} AND at_end < {never} * inside),
-        half AS (SELECT w.id FROM {tails} w JOIN {begun} h ON w.n = 3 AND w.before = h.before AND w.word = h.word)
+        never AS (SELECT DISTINCT id FROM judged WHERE n = 1 AND inside >= {often} AND at_end < {never} * inside),
+        half AS (SELECT DISTINCT w.id FROM {tails} w JOIN {begun} h ON w.n = h.n AND w.before = h.before AND w.word = h.word)
         SELECT k.id, CASE
           WHEN k.known IS NOT NULL THEN k.known
           WHEN h.id IS NOT NULL OR r.id IS NOT NULL OR b.b IS NULL THEN true
