@@ -26,22 +26,27 @@ SUBJECT_SHARE = 0.2
 #: Sentence scores from which a sentence treats a subject by itself, tried in calibration.
 THRESHOLDS = (1.2, 1.5, 1.8, 2.1, 2.4)
 
-_OPTIONS = re.compile(r"\bA\.\s[^\n]{1,160}?\s(?:\bB|\*\*B)\.\s[^\n]{1,160}?\sC\.\s[^\n]{1,160}?(?=[.\n]|$)(?:[^\n]{0,120}?\s[DE]\.\s\S+(?:\s\S+){0,9})*", re.S)
+_OPTIONS = re.compile(r"(?:(?:^|\s)[A-E][.)]\s+[^?!\n]{1,90}?(?=\s[A-E][.)]\s|\n|$|[.]\s)[.]?){2,}")
 _QUESTION = re.compile(r"(?:which|who|what|how would|how many|how much|where)\b[^.!?\n]*\?", re.I)
-_FURNITURE = re.compile(r"^(?:home \||filed under|more stories|share this|log in|accept all|subscribe|related|tags?:|copyright|all rights|page not found)[^\n]*$", re.I | re.M)
+_FURNITURE = re.compile(r"^(?:home \||filed under|more stories|share this|log in|accept all|subscribe|related|tags?:|copyright|all rights|page not found|answer: ?[a-e]\b)[^\n]*$", re.I | re.M)
+_MARK = "\x1e"
+#: Phrases that take up a word in passing. Fixed values.
+_PASSING = re.compile(r"nothing to do with|jokes about|called the whole|named after|where the first")
 _STOP = re.compile(r"[.!?][\"”’»)\]]*(?:\s+|$)|\n+")
 _WORDS = re.compile(r"[^\w\x1e]+|_")
-_MARK = "\x1e"
 
 
 def sentences(text: str) -> str:
-    """The text's own sentences in lower case, words parted by single spaces, sentences by a mark; quoted questions and page furniture left out."""
+    """The text's own sentences in lower case, words parted by single spaces, sentences by a mark; quoted questions, page furniture and words in passing left out."""
     if "?" in text:
         text = _OPTIONS.sub("\n", text)
         text = drop_questions(text)
     if "\n" in text or len(text) < 200:
         text = _FURNITURE.sub("\n", text)
-    return " " + _WORDS.sub(" ", _STOP.sub(" \x1e ", text.lower())) + " "
+    text = _STOP.sub(" \x1e ", text.lower())
+    if _PASSING.search(text):
+        text = _MARK.join(x for x in text.split(_MARK) if not _PASSING.search(x))
+    return " " + _WORDS.sub(" ", text) + " "
 
 
 def drop_questions(text: str) -> str:
@@ -111,8 +116,8 @@ class Lexicon:
     def shares(self, text: str | None) -> dict[str, float]:
         """Each subject's share of the sentences that treat any.
 
-        A sentence treats a subject if its score reaches the threshold; a lone term does so only in a document
-        that treats the subject elsewhere too, else it is a word borrowed in passing.
+        A sentence treats a subject if its score reaches the threshold. A lone term does so in a document that treats
+        the subject elsewhere too, or that treats no subject more than so; else it is a borrowed word.
         """
         if not text:
             return {}
@@ -120,6 +125,7 @@ class Lexicon:
         strong = {s for x in per for s, v in x.items() if v >= self.threshold}
         often = Counter(s for x in per for s in x)
         strong |= {s for s, n in often.items() if n >= 3 and n >= SUBJECT_SHARE * 2 * len(per)}
+        strong = strong or often.keys()
         treated = [t for x in per if (t := [s for s in x if s in strong])]
         count = Counter(s for t in treated for s in t)
         return {s: n / len(treated) for s, n in count.items()}
