@@ -136,8 +136,12 @@ def content_chunks(rows: DataFrame, roll_rows: int = ROLL_ROWS, chunk_rows: int
 
 
 def differing_keys(rows: DataFrame) -> DataFrame:
-    """Keys of chunks without an equal chunk on the other side: ``grp, key``, distinct."""
-    named = content_chunks(rows)
+    """Keys of chunks without an equal chunk on the other side: ``grp, key``, distinct.
+
+    The named rows, some bytes each, are written first: ranges are drawn from a sample, so chunks named in a second
+    run of the stage could have other borders than those that were matched.
+    """
+    named = materialise(content_chunks(rows), "parity-chunks")
     chunks = named.groupBy("grp", "chunk", "side").agg(
         F.sum(F.xxhash64("key", "fp").cast("decimal(38,0)")).alias("total"),
         F.bit_xor(F.xxhash64("fp", "key")).alias("mix"),

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..schemas import example_schema
+from ..session import materialise
 
 #: Subject configurations that are pooled, in this order. Fixed values.
 MMLU_SUBJECTS = (
@@ -49,15 +50,19 @@ def with_ordinal(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Adds ``ord``, from 0 in the order given, without a single-task sort.
 
     Rows are range-partitioned and sorted; a partition's first number is the count of rows before it. The counts
-    are one number a partition.
+    are one number a partition. The sorted rows are written before they are counted: ranges are drawn from a sample, and rows
+    counted in one draw must not be numbered in another.
     """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = rows.select("*", F.struct(*order).alias("_key"))
-    ranged = keyed.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key").sortWithinPartitions("_key")
-    numbered = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
+    ranged = keyed.repartitionByRange(parts, "_key").sortWithinPartitions("_key")
+    numbered = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()).drop("_key")
+    numbered = materialise(numbered, "ordinals")
     counts = numbered.groupBy("_part").agg(F.count("*").alias("n"), F.min("_mono").alias("_first"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    return numbered.join(F.broadcast(starts), "_part").withColumn("ord", F.col("_start") + F.col("_mono") - F.col("_first")).drop("_key", "_part", "_mono", "_first", "_start")
+    placed = numbered.join(F.broadcast(starts), "_part")
+    return placed.withColumn("ord", F.col("_start") + F.col("_mono") - F.col("_first")).drop("_part", "_mono", "_first", "_start")
 
 
 def first_n(rows: DataFrame, limit: int | None) -> DataFrame:
