@@ -85,14 +85,10 @@ def shared_spans(texts: DataFrame) -> DataFrame:
     ``texts``: ``grp, words, text_id, in_train, in_eval``, distinct texts, of which only those of one ``grp`` are compared.
     A span counts where it is left-maximal, so a long one meets once and not at each of its words.
     """
-    at = texts.select("grp", "text_id", "in_train", "in_eval", F.posexplode("words").alias("i", "w"), "words")
-    suffixes = at.filter(F.col("i") <= F.size("words") - SHARED_WORDS).select(
-        "grp",
-        F.slice("words", F.col("i") + 1, F.lit(ORDER_WORDS)).alias("suffix"),
-        "text_id",
-        "in_train",
-        "in_eval",
-    )
+    # Cut while the words are one array: exploding first would copy all words for each suffix.
+    cuts = F.transform(F.sequence(F.lit(1), F.size("words") - SHARED_WORDS + 1), lambda i: F.slice("words", i, F.lit(ORDER_WORDS)))
+    long = texts.filter(F.size("words") >= SHARED_WORDS)
+    suffixes = long.select("grp", F.explode(cuts).alias("suffix"), "text_id", "in_train", "in_eval")
     near = suffix_neighbours(suffixes).withColumn("seed", F.xxhash64("grp", F.slice("suffix", 1, SHARED_WORDS))).select("grp", "seed", "text_id", "in_train", "in_eval")
     seeds = near.distinct()
     left = seeds.filter("in_eval").select("grp", "seed", F.col("text_id").alias("a"))
