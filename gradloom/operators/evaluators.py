@@ -16,7 +16,7 @@ from ..functions import offline
 from ..functions import text as X
 from . import metrics
 from .render import Variant, render
-from .windows import window_spans
+from .windows import window_count_sql, window_span
 
 #: Budget of a cloze item's generation, in tokens for each word of its target.
 CLOZE_TOKENS_PER_WORD = 4
@@ -124,7 +124,7 @@ def batch_scorer(load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) ->
             for columns in batches:
                 yield model(pd.DataFrame(dict(zip(fields, columns))))
 
-        udf = F.pandas_udf(work, ANSWER, F.PandasUDFType.SCALAR_ITER) if hasattr(F, "PandasUDFType") else F.pandas_udf(work, ANSWER)
+        udf = F.pandas_udf(work, ANSWER)
         return requests.repartition("model_id", "revision").withColumn("answer", udf(*fields))
 
     return score
@@ -175,12 +175,15 @@ def window_requests(texts: DataFrame, key: str, text: str, model_id: str, revisi
     """
     base = texts.select(F.col(key).alias("example_id"), F.octet_length(text).cast("bigint").alias("raw_bytes"), X.words(F.col(text)).alias("w"))
     sized = base.withColumn("n", F.size("w")).filter("n > 0")
-    spans = window_spans(sized, "n", window, stride)
-    cut = lambda a, n: F.array_join(F.slice("w", a, n), " ")
-    rows = spans.select(
-        "example_id", "raw_bytes", "k", cut(F.col("start") + F.col("context_words") + 1, F.col("scored_words")).alias("prompt"),
-        cut(F.col("start") + 1, F.col("context_words")).alias("context"),
-    )
+
+    def cut(k: Column) -> Column:
+        start, context, scored = window_span(k, F.col("n"), window, stride)
+        part = lambda a, n: F.array_join(F.slice("w", a, F.greatest(n, F.lit(0))), " ")
+        return F.struct(k.alias("k"), part(start + context + 1, scored).alias("prompt"), part(start + 1, context).alias("context"), (scored > 0).alias("any"))
+
+    # The windows are cut while the words are one array: exploding first would copy all words for each window.
+    cuts = F.transform(F.expr(f"sequence(0, {window_count_sql('n', window, stride)} - 1)"), cut)
+    rows = sized.select("example_id", "raw_bytes", F.explode(cuts).alias("c")).filter("c.any").select("example_id", "raw_bytes", "c.k", "c.prompt", "c.context")
     rows = _request_columns(rows, _null("string"), F.col("context"), _null("int"), _null("array<string>"))
     return _with_hash(rows, model_id, revision, "nll", F.col("prompt"), _null("array<string>"), _params(context=F.col("context")))
 

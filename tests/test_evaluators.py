@@ -1,5 +1,6 @@
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,16 @@ def test_generative_needs_the_exact_number(spark):
 def test_unknown_names():
     with pytest.raises(KeyError):
         E.get_scorer("nobody")
+
+
+def test_model_backed_scorer(spark):
+    def load():
+        def model(requests: pd.DataFrame) -> pd.DataFrame:
+            n = len(requests)
+            return pd.DataFrame({"loglik": [-float(len(c)) for c in requests["continuation"]], "n_tokens": [1] * n, "is_greedy_match": [True] * n, "token_units": [None] * n, "n_bytes": [None] * n, "generation": [None] * n})
+
+        return model
+
+    rows = spark.createDataFrame([("a", ("q", ["longer", "no"], 1))], MC)
+    got = E.mc_results(E.batch_scorer(load)(E.mc_requests(rows, render.load_variant("arc_easy/mc_option_text_v1"), "m", "main"))).first()
+    assert got["correct"] is True and list(got["detail"]["logliks"]) == [-7.0, -3.0]

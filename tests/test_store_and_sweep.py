@@ -174,3 +174,11 @@ def test_streaming_snapshot(spark, tmp_path):
     stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))
     current_runs.keep_current(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert {r["run_id"]: r["status"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"r1": "done", "r2": "failed"}
+
+
+def test_harness_results_are_imported(spark, tmp_path):
+    row = {"doc_id": "1", "example_id": "arc-1", "prompt": "p", "target": 2, "resps": [-1.0, -2.0], "resps_norm": None, "acc": 1.0, "generation": None, "extracted": None}
+    (tmp_path / "h.jsonl").write_text(json.dumps(row) + "\n" + json.dumps(row | {"example_id": None, "acc": 0.0}) + "\n")
+    got = {r["example_id"]: r for r in parity.import_harness(spark, str(tmp_path / "h.jsonl"), "run-h").collect()}
+    assert got["arc-1"]["correct"] is True and json.loads(got["arc-1"]["detail_json"])["answer_index"] == 2
+    assert got["1"]["correct"] is False and got["1"]["framework"] == "lm_eval_harness"
