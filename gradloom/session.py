@@ -20,14 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Tasks that can run at once, and never fewer than the shuffle partitions."""
-    return max(
-        spark.sparkContext.defaultParallelism,
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-    )
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread rows of a few large files over all tasks before work that is heavy on CPU.
 
@@ -53,7 +45,22 @@ def work_dir(spark: SparkSession) -> str:
     if not base:
         base = os.environ.get("GRADLOOM_TEST_CHECKPOINT") or tempfile.mkdtemp(prefix="gradloom-")
         os.environ["GRADLOOM_TEST_CHECKPOINT"] = base
-    return f"{base.rstrip('/')}/gradloom-{uuid.uuid4().hex}"
+    made = f"{base.rstrip('/')}/gradloom-{uuid.uuid4().hex}"
+    _MADE.append(made)
+    return made
+
+
+_MADE: list[str] = []
+
+
+def discard_work(spark: SparkSession) -> int:
+    """Delete the folders that this process has made so far; call it when no result that reads them is in use."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf, gone = spark._jsc.hadoopConfiguration(), 0
+    while _MADE:
+        path = hadoop.Path(_MADE.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
