@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,18 +119,20 @@ def examples(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def sweep_samples(rows: DataFrame, sweeps: DataFrame, ledger: DataFrame) -> DataFrame:
+def sweep_samples(rows: DataFrame, sweeps: DataFrame, book: SelectionLedger, cuts: list[datetime] | None = None) -> DataFrame:
     """``sweep_id, dataset, split, example_id``: the sample of each sweep and target.
 
     Sweeps that draw on one dataset, split and seed share one order of its keys, so a ledger serves them all: it holds each
-    pool's keys up to the largest limit, and a sweep takes the ranks up to its own. A null limit takes all, 0 none.
+    pool's keys up to the largest limit, and a sweep takes the ranks up to its own. A null limit takes all, 0 none. The ledger grows once for
+    the rows up to each of ``cuts``, as it does when they come in batches, and then for all.
     """
     asked = sweep_pools(sweeps)
     quotas = asked.groupBy("pool", "dataset", "split", "seed").agg(
         F.max("quota").alias("most"), F.max(F.col("quota").isNull().cast("int")).alias("all")
     )
     quotas = quotas.select("pool", "dataset", "split", "seed", F.when(F.col("all") == 0, F.col("most")).alias("quota"))
-    # The sweep table is fixed and small, its size is checked by the optimizer's threshold.
     candidates = rows.join(quotas.select("pool", "dataset", "split"), ["dataset", "split"]).select("pool", "key", "arrival")
-    grown = grow(ledger, candidates, quotas.select("pool", "quota", "seed"))
+    for cut in cuts or []:
+        book.advance(candidates.filter(F.col("arrival") <= F.lit(cut)), quotas.select("pool", "quota", "seed"))
+    grown = book.advance(candidates, quotas.select("pool", "quota", "seed"))
     return grown.join(asked, "pool").filter("quota is null or rank <= quota").select("sweep_id", "dataset", "split", F.col("key").alias("example_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, table
+from ..session import table, work_dir
 from . import leakage, ledger, merkle, packing, repetition, split_overlap, splitting, subjects, truncation
 
 
@@ -63,10 +63,11 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The examples that each sweep's limit chooses, from an empty ledger."""
-    tables = [table(spark, sf_dir, t) for t in ("arc_easy", "mmlu", "gsm8k", "wikitext")]
-    empty = spark.createDataFrame([], ledger.LEDGER)
-    return ledger.sweep_samples(ledger.examples(tables), table(spark, sf_dir, "sweep_specs"), empty)
+    """The examples that each sweep's limit chooses, by a ledger that grows in two batches: the first half of the time, then all."""
+    rows = ledger.examples([table(spark, sf_dir, t) for t in ("arc_easy", "mmlu", "gsm8k", "wikitext")])
+    first, last = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    book = ledger.SelectionLedger(spark, work_dir(spark))
+    return ledger.sweep_samples(rows, table(spark, sf_dir, "sweep_specs"), book, [first + (last - first) / 2] if first else [])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
