@@ -174,7 +174,7 @@ def window_requests(texts: DataFrame, key: str, text: str, model_id: str, revisi
     Only the words of a window travel with it, not the whole text.
     """
     base = texts.select(F.col(key).alias("example_id"), F.octet_length(text).cast("bigint").alias("raw_bytes"), X.words(F.col(text)).alias("w"))
-    sized = base.withColumn("n", F.size("w")).filter("n > 0")
+    sized = base.withColumn("n", F.size("w"))  # a text without words has one window that scores nothing and falls out below
 
     def cut(k: Column) -> Column:
         start, context, scored = window_span(k, F.col("n"), window, stride)
@@ -194,6 +194,14 @@ def perplexity_totals(scored: DataFrame) -> DataFrame:
     return scored.groupBy("example_id", "raw_bytes").agg(F.sum(total).alias("units"), F.sum(F.size("answer.token_units")).alias("tokens"))
 
 
+def offline_totals(requests: DataFrame, seed: int = 0) -> DataFrame:
+    """:func:`perplexity_totals` of the offline scorer without keeping tokens: one row a token, so hashing stays in generated code."""
+    prefix = offline.key(F.lit(str(seed)), F.col("model_id"), F.col("revision"), F.col("context"), F.col("prompt"))
+    tokens = requests.select("example_id", "raw_bytes", prefix.alias("p"), F.posexplode(X.words(F.col("prompt"))).alias("i", "tok"))
+    units = (5_000 + 4 * offline.draw(F.concat_ws("|", "p", "tok", F.col("i").cast("string")))).cast("bigint")
+    return tokens.groupBy("example_id", "raw_bytes").agg(F.sum(units).alias("units"), F.count("*").cast("bigint").alias("tokens"))
+
+
 def perplexity_results(scored: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
     """``example_id, correct, score, detail`` of scored windows: ``correct`` is null, the score bits per byte; a text without words scores 0."""
     entry = F.struct("k", F.transform("answer.token_units", lambda x: x / 10_000.0).alias("nlls"))

@@ -27,8 +27,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _doc_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood, tokens and bytes of each document, those without words included; the language is looked up after the windows are summed."""
     docs = _documents(spark, sf_dir)
-    scored = _SCORE(E.window_requests(docs, "doc_id", "text", MODEL, REVISION, WINDOW, STRIDE))
-    totals = E.perplexity_totals(scored.drop("request_hash")).select(F.col("example_id").alias("doc_id"), "units", "tokens")
+    requests = E.window_requests(docs, "doc_id", "text", MODEL, REVISION, WINDOW, STRIDE)
+    totals = E.offline_totals(requests.drop("request_hash")).select(F.col("example_id").alias("doc_id"), "units", "tokens")
     sizes = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "lang", F.octet_length("text").cast("bigint").alias("n_bytes"))
     return sizes.join(totals, "doc_id", "left").select(
         "doc_id", "lang", F.coalesce("units", F.lit(0)).alias("units"), F.coalesce("tokens", F.lit(0)).alias("n_tok"), "n_bytes"

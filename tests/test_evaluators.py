@@ -55,6 +55,14 @@ def test_windowed_perplexity_golden(spark):
     assert (m["n_tokens"], m["n_bytes"]) == (9, 43)
 
 
+def test_totals_equal_the_scored_windows(spark):
+    t = texts(spark, [("a", PANGRAM * 3), ("b", "one"), ("c", ""), ("d", "x  y\nz")])
+    asked = E.window_requests(t, "example_id", "text", "m", "main", 4, 2)
+    want = E.perplexity_totals(E.offline_scorer(0)(asked)).select("example_id", "units", "tokens").collect()
+    got = E.offline_totals(asked).select("example_id", "units", "tokens").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 3
+
+
 def test_texts_without_words_score_nothing(spark):
     rows = {r["example_id"]: r for r in ppl(spark, [("e", ""), ("s", " \n"), ("w", "a")], 4, 2).collect()}
     assert rows["e"]["score"] == rows["s"]["score"] == 0.0
