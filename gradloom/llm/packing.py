@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import bisect
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -18,9 +18,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a shard on average; documents fall into shards by their hash, so none grows hot.
 SHARD_CHARS = 8_000_000
-#: BM25's constants, the rarest terms of a seed that make its query, and the neighbours tried.
+#: BM25's constants.
 K1, B = 1.2, 0.75
-QUERY_TERMS, NEIGHBOURS = 12, 48
+#: Neighbours put in order at a time; the next block follows as long as there is room, so no result hangs on it.
+BLOCK = 64
 
 SCHEMA = "container string, position int, doc_id bigint, part int, start_token int, n_tokens int"
 _ARROW = pa.schema(
@@ -56,23 +57,31 @@ class ShardIndex:
         self.term, self.df, self.n = term, df, n
 
     def scores(self, seed: int) -> np.ndarray:
-        """Every item's score for the seed's rarest terms that others share; repeated rows score as any."""
+        """Every item's score for all the seed's terms that others share; repeated rows score as any."""
         terms = self.term[self.own[seed] : self.own[seed + 1]]
-        df = self.df[terms]
-        terms, df = terms[df > 1], df[df > 1]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.lexsort((terms, df))[:QUERY_TERMS]]
+        terms = terms[self.df[terms] > 1]
         if not len(terms):
             return np.zeros(self.n)
         spans = [slice(self.begin[t], self.begin[t + 1]) for t in terms]
         return np.bincount(np.concatenate([self.items[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
 
 
+def ranked(score: np.ndarray, fits: Callable[[np.ndarray], np.ndarray]) -> Iterator[int]:
+    """The items of a score above 0 by falling score, ties by number, less those that no longer fit when their block begins."""
+    rest, block = np.flatnonzero(score > 0), BLOCK
+    while len(rest := rest[fits(rest)]):
+        of = score[rest]
+        least = np.partition(of, len(of) - block)[len(of) - block] if len(of) > block else 0.0
+        near = rest[of >= least]  # all ties with the last one too
+        yield from near[np.lexsort((near, -score[near]))].tolist()
+        rest, block = rest[of < least], block * 4
+
+
 def fill(sizes: list[int], scores: Callable[[int], np.ndarray], capacity: int) -> list[list[int]]:
     """Containers as lists of items, none over the capacity. ``sizes`` must be from 1 to ``capacity``.
 
-    The largest unused item seeds a container, its unused neighbours fill it in order of their score, and what room
-    is left takes the largest unused items that fit.
+    The largest unused item seeds a container, and all its unused neighbours are tried in order of their score. Room
+    is left to the largest unused items that fit only when no item with a score above 0 does.
     """
     free = sorted((s, i) for i, s in enumerate(sizes))
     used = np.zeros(len(sizes), bool)
@@ -89,15 +98,14 @@ def fill(sizes: list[int], scores: Callable[[int], np.ndarray], capacity: int) -
         own, room = [seed], capacity - sizes[seed]
         if room and free and free[0][0] <= room:
             score = scores(seed)
-            score[used | (size > room)] = 0
-            near = np.flatnonzero(score)
-            if len(near) > NEIGHBOURS:
-                near = near[np.argpartition(-score[near], NEIGHBOURS)[:NEIGHBOURS]]
-            for i in near[np.lexsort((near, -score[near]))].tolist():
+            score[used] = 0
+            for i in ranked(score, lambda x: size[x] <= room):
                 if sizes[i] <= room:
                     take(i)
                     own.append(i)
                     room -= sizes[i]
+                    if not free or free[0][0] > room:
+                        break
             while room and free:
                 at = bisect.bisect_right(free, (room, len(sizes))) - 1
                 if at < 0:
@@ -138,6 +146,7 @@ def packed(docs: DataFrame, doc_id: str, text: str, capacity: int = CAPACITY, to
     A document larger than a container is cut into whole containers and a rest, which is packed as any item; no other is
     cut. Documents fall into shards by the hash of their id and text; a shard is bounded in size, so its index fits a task. One shuffle, of the texts.
     Null and empty texts and null ids are not packed; repeated rows are packed each. Reruns agree.
+    Neighbours are sought within the shard, by all shared terms and to the last of them.
     """
     if capacity < 1:
         raise ValueError("the capacity must be at least 1")

@@ -146,6 +146,22 @@ def test_neighbours_share_containers():
     assert packing.fill([3, 3, 3, 3], lambda i: np.array([0, 0, 1.0, 0]), 6) == [[3, 2], [1, 0]]
 
 
+def test_packing_tries_every_neighbour():
+    # the first seed, item 101, has 100 near copies that fit beside it only one at a time, and one small relative of rank 101
+    sizes = [10] + [60] * 100 + [100, 11]
+    score = np.array([1.0] + [5.0] * 100 + [9.0, 0.0])
+    got = packing.fill(sizes, lambda i: score.copy() if i == 101 else np.zeros(len(sizes)), 171)
+    assert got[0] == [101, 1, 0]
+    assert sorted(i for own in got for i in own) == list(range(len(sizes)))
+
+
+def test_packing_asks_for_every_shared_term():
+    # item 1 shares only token 99 with the seed; tokens 0 to 12 are rarer, and each is shared with an item of its own
+    tokens = [[*range(13), 99], [99, 500], *([t] for t in range(13)), *([99, 600 + k] for k in range(4))]
+    score = packing.ShardIndex([np.array(x) for x in tokens]).scores(0)
+    assert (score[1:] > 0).all()
+
+
 # Problem 9
 
 ITEM = "at gondvale a badger buried 78 seeds before the shaky frost while hiawisth slept from a glass hut what did the crab group most likely gain from these two seasons"
