@@ -122,13 +122,9 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
-def _lexicon(spark: SparkSession, sf_dir: str) -> subjects.Lexicon:
-    return subjects.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"))
-
-
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subjects that each document treats."""
-    return subjects.assigned(table(spark, sf_dir, "documents"), _lexicon(spark, sf_dir))
+    return subjects.assigned_to_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"))
 
 
 def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import materialise, spread
 from .subject_terms import seeds
 
-#: Labelled documents at most from which the lexicon is grown and calibrated.
+#: Labelled documents at most from which the lexicon is grown and calibrated. Term rarity is counted over all documents.
 LABEL_SAMPLE = 1200
 #: A term is learned if it occurs in so many sentences of so many documents and belongs to one subject this purely.
 LEARN_SENTENCES, LEARN_DOCS, LEARN_PURITY = 4, 3, 0.8
@@ -77,51 +77,67 @@ class Lexicon:
 
     def __init__(self, terms: dict[str, tuple[str, float]], threshold: float):
         self.terms, self.threshold = terms, threshold
+        self.names = sorted(terms)
+        self.values = [terms[t] for t in self.names]
         self.automaton = ahocorasick.Automaton()
-        for term, (subject, weight) in terms.items():
-            self.automaton.add_word(f" {term} ", (len(term) + 2, subject, weight))
+        for number, term in enumerate(self.names):
+            self.automaton.add_word(f" {term} ", (len(term) + 2, number))
         self.automaton.add_word(_MARK, None)
         self.automaton.make_automaton()
 
     def __reduce__(self):
         return Lexicon, (self.terms, self.threshold)
 
-    def scores(self, text: str) -> list[dict[str, float]]:
-        """Per sentence with any term, the score of each subject; of terms that overlap the longer counts."""
-        out: list[dict[str, float]] = []
-        now: list[list] = []
+    def found(self, text: str) -> tuple[list[list[int]], list[int]]:
+        """Per sentence with any term, the numbers of its terms, of terms that overlap the longer; and all terms, each once a sentence.
+
+        Weights and threshold have no part in it.
+        """
+        out: list[list[int]] = []
+        every: list[int] = []
+        now: list[tuple[int, int, int]] = []
+        met: set[int] = set()
         for end, hit in self.automaton.iter(text):
             if hit is None:
                 if now:
-                    out.append(self._sum(now))
-                    now = []
+                    out.append([x[2] for x in now])
+                    every += met
+                    now, met = [], set()
                 continue
-            size, subject, weight = hit
+            size, number = hit
+            met.add(number)
             start = end - size + 2
             while now and now[-1][0] >= start:
                 now.pop()  # lies within this one
             if not now or now[-1][1] <= start:
-                now.append([start, end, subject, weight])
+                now.append((start, end, number))
         if now:
-            out.append(self._sum(now))
-        return out
+            out.append([x[2] for x in now])
+            every += met
+        return out, every
 
-    @staticmethod
-    def _sum(hits: list[list]) -> dict[str, float]:
+    def scores(self, text: str) -> list[dict[str, float]]:
+        """Per sentence with any term, the score of each subject; of terms that overlap the longer counts."""
+        return [self._sum(x) for x in self.found(text)[0]]
+
+    def _sum(self, numbers: list[int]) -> dict[str, float]:
         got: dict[str, float] = {}
-        for _, _, subject, weight in hits:
+        for number in numbers:
+            subject, weight = self.values[number]
             got[subject] = got.get(subject, 0.0) + weight
         return got
 
     def shares(self, text: str | None) -> dict[str, float]:
-        """Each subject's share of the sentences that treat any.
+        """Each subject's share of the text's sentences that treat any; see :meth:`shares_of`."""
+        return self.shares_of(self.found(sentences(text))[0]) if text else {}
+
+    def shares_of(self, hits: list[list[int]]) -> dict[str, float]:
+        """Each subject's share of the sentences that treat any, from the terms found in each.
 
         A sentence treats a subject if its score reaches the threshold. A lone term does so in a document that treats
         the subject elsewhere too, or that treats no subject more than so; else it is a borrowed word.
         """
-        if not text:
-            return {}
-        per = self.scores(sentences(text))
+        per = [self._sum(x) for x in hits]
         strong = {s for x in per for s, v in x.items() if v >= self.threshold}
         often = Counter(s for x in per for s in x)
         strong |= {s for s, n in often.items() if n >= 3 and n >= SUBJECT_SHARE * 2 * len(per)}
@@ -132,16 +148,23 @@ class Lexicon:
 
     def subjects(self, text: str | None) -> list[str]:
         """The document's subjects, in name order; none for a null or empty text."""
-        return sorted(s for s, v in self.shares(text).items() if v >= SUBJECT_SHARE - 1e-9)
+        return self._enough(self.shares(text))
+
+    def subjects_of(self, hits: list[list[int]]) -> list[str]:
+        """The same from the terms found in each sentence."""
+        return self._enough(self.shares_of(hits))
+
+    @staticmethod
+    def _enough(shares: dict[str, float]) -> list[str]:
+        return sorted(s for s, v in shares.items() if v >= SUBJECT_SHARE - 1e-9)
 
 
 def learn(texts: Iterable[str]) -> dict[str, tuple[str, float]]:
-    """The lexicon grown from the seeds: words and word pairs that keep company with one subject's terms.
+    """The terms grown from the seeds, with subject and purity: words and word pairs that keep company with one subject's terms.
 
-    A sentence belongs to a subject if its known terms are of that subject alone; terms found so join for a second round.
+    Weights aren't made here, since the texts are a sample. A sentence belongs to a subject if its known terms are of that subject alone; terms found so join for a second round.
     """
     split = [[s.split() for s in sentences(t).split(_MARK)] for t in texts if t]
-    total = sum(len(d) for d in split)
     known = {t: (s, 1.0) for t, s in seeds()}
     for _ in range(2):
         by: dict[str, Counter] = defaultdict(Counter)
@@ -173,8 +196,8 @@ def learn(texts: Iterable[str]) -> dict[str, tuple[str, float]]:
                 continue
             if len(words) == 2 and n[g] < LEARN_PAIR * min(n[w] for w in words):
                 continue  # two words that meet by chance
-            grown[g] = (s, weigh(g, n[g], total, k / seen))
-        known = {**grown, **{t: (s, weigh(t, n.get(t, 0), total)) for t, s in seeds()}}
+            grown[g] = (s, k / seen)
+        known = {**grown, **{t: (s, 1.0) for t, s in seeds()}}
     return known
 
 
@@ -188,13 +211,15 @@ _COMMON = frozenset(
 
 
 def calibrated(terms: dict[str, tuple[str, float]], labelled: list[tuple[str, set[str]]]) -> Lexicon:
-    """The lexicon at the threshold that agrees best with the labels (F1 over documents and subjects); ties to the lowest."""
+    """The lexicon at the threshold that agrees best with all the labels (F1 over documents and subjects); ties to the lowest."""
     best, choice = -1.0, None
+    finder = Lexicon(terms, 0.0)
+    found = [(finder.found(sentences(text or ""))[0], labels) for text, labels in labelled]
     for threshold in THRESHOLDS:
         lexicon = Lexicon(terms, threshold)
         hit = wrong = missed = 0
-        for text, labels in labelled:
-            got = set(lexicon.subjects(text))
+        for hits, labels in found:
+            got = set(lexicon.subjects_of(hits))
             hit += len(got & labels)
             wrong += len(got - labels)
             missed += len(labels - got)
@@ -204,38 +229,83 @@ def calibrated(terms: dict[str, tuple[str, float]], labelled: list[tuple[str, se
     return choice
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """The lexicon fitted on at most ``LABEL_SAMPLE`` labelled documents, those of lowest hash, on the driver.
+def term_hits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``doc_id, hits, terms, sentences``: :meth:`Lexicon.found` of each document, and how many sentences it has.
+
+    The documents are read once where they lie; the lexicon, some hundred terms, goes to the tasks with the function.
+    Null ids and null or empty texts have no rows; repeated rows give repeated rows.
+    """
+    rows = spread(docs.filter("doc_id is not null and length(text) > 0").select("doc_id", "text"))
+    types = [pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.int32()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [batch.column(0).to_pylist(), [], [], []]
+            for text in batch.column(1):
+                own = sentences(text.as_py())
+                hits, terms = lexicon.found(own)
+                cols[1].append(hits)
+                cols[2].append(terms)
+                cols[3].append(sum(1 for x in own.split(_MARK) if x.strip()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "hits", "terms", "sentences"])
+
+    return rows.mapInArrow(work, "doc_id bigint, hits array<array<int>>, terms array<int>, sentences int")
+
+
+def fitted_with_hits(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, DataFrame]:
+    """The lexicon, and the terms found in every document, kept in the work folder.
 
-    The bound holds whatever the tables' size. Without labels the seeds alone make the lexicon.
+    Terms are grown and the threshold is calibrated on at most ``LABEL_SAMPLE`` labelled documents, those of lowest
+    hash, on the driver; the bound holds whatever the tables' size. How rare a term is, is counted over the sentences
+    of all documents. Without labels the seeds alone make the lexicon.
     """
     wanted = labels.filter("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_SAMPLE)
     rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").filter("text is not null").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    terms = learn(r["text"] for r in rows)
-    return calibrated(terms, [(r["text"], set(r["subjects"])) for r in rows[:1000]])
+    pure = learn(r["text"] for r in rows)
+    finder = Lexicon(pure, 0.0)
+    hits = materialise(term_hits(docs, finder), "subject_hits")
+    total = hits.agg(F.sum("sentences")).first()[0] or 0
+    met = {r["term"]: r["n"] for r in hits.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    terms = {t: (pure[t][0], weigh(t, met.get(number, 0), total, pure[t][1])) for number, t in enumerate(finder.names)}
+    return calibrated(terms, [(r["text"], set(r["subjects"])) for r in rows]), hits
 
 
-def subject_shares(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``doc_id, subject, share`` of every subject that a document's sentences treat.
+def fitted(docs: DataFrame, labels: DataFrame) -> Lexicon:
+    """The lexicon of :func:`fitted_with_hits`."""
+    return fitted_with_hits(docs, labels)[0]
 
-    The documents are read once where they lie; the lexicon, some hundred terms, goes to the tasks with the function.
-    Null ids and null or empty texts have no rows; repeated rows give repeated rows.
-    """
-    rows = spread(docs.filter("doc_id is not null and length(text) > 0").select("doc_id", "text"))
+
+def shares_of_hits(hits: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``doc_id, subject, share`` of every subject that a document's sentences treat, from :func:`term_hits` with the same terms."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
-            for at, text in enumerate(batch.column(1)):
-                out += [(ids[at], s, v) for s, v in sorted(lexicon.shares(text.as_py()).items())]
+            out = []
+            for doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out += [(doc, s, v) for s, v in sorted(lexicon.shares_of(found).items())]
             cols = list(zip(*out)) if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["doc_id", "subject", "share"])
 
-    return rows.mapInArrow(work, "doc_id bigint, subject string, share double")
+    return hits.select("doc_id", "hits").mapInArrow(work, "doc_id bigint, subject string, share double")
+
+
+def subject_shares(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``doc_id, subject, share`` of every subject that a document's sentences treat; rows as :func:`term_hits`."""
+    return shares_of_hits(term_hits(docs, lexicon), lexicon)
 
 
 def assigned(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``doc_id, subject``, distinct: every subject treated by at least a fifth of the sentences that treat any."""
-    return subject_shares(docs, lexicon).filter(F.col("share") >= SUBJECT_SHARE - 1e-9).select("doc_id", "subject").distinct()
+    return _enough(subject_shares(docs, lexicon))
+
+
+def assigned_to_all(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """:func:`assigned` with the lexicon fitted to the same documents, whose texts are then searched only once."""
+    lexicon, hits = fitted_with_hits(docs, labels)
+    return _enough(shares_of_hits(hits, lexicon))
+
+
+def _enough(shares: DataFrame) -> DataFrame:
+    return shares.filter(F.col("share") >= SUBJECT_SHARE - 1e-9).select("doc_id", "subject").distinct()

@@ -283,6 +283,28 @@ def test_subjects_of_a_table(spark):
     assert subjects.assigned(docs.filter("false"), subjects.fitted(docs, labels.filter("false"))).count() == 0
 
 
+def test_term_rarity_is_that_of_all_documents(spark):
+    # the labelled document lacks "plaintiff", every other has it in each sentence, so by itself it is no rare term
+    rows = [(1, "The jury heard the affidavit. A verdict followed.")] + [(i, "The plaintiff came back. Then the plaintiff left.") for i in range(2, 200)] + [(200, "The quasar rose.")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, "law", "a")], "doc_id bigint, subject string, annotator string")
+    lexicon = subjects.fitted(docs, labels)
+    total = 2 * 199 + 1
+    assert lexicon.terms["plaintiff"] == ("law", subjects.weigh("plaintiff", 2 * 198, total))
+    assert lexicon.terms["quasar"] == ("astronomy", subjects.weigh("quasar", 1, total))
+    assert lexicon.terms["plaintiff"][1] < subjects.THRESHOLDS[0] < lexicon.terms["quasar"][1]
+    again = subjects.assigned_to_all(docs, labels)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, subjects.assigned(docs, lexicon).collect()))
+
+
+def test_the_whole_sample_calibrates(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(subjects, "calibrated", lambda terms, labelled: seen.append(len(labelled)) or subjects.Lexicon(terms, 1.5))
+    docs = spark.range(1100).selectExpr("id as doc_id", "'The jury heard the affidavit.' as text")
+    subjects.fitted(docs, docs.selectExpr("doc_id", "'law' as subject"))
+    assert seen == [1100]
+
+
 def test_held_out_agreement(spark):
     import os
 
