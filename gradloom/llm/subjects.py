@@ -28,24 +28,21 @@ THRESHOLDS = (1.2, 1.5, 1.8, 2.1, 2.4)
 
 _OPTIONS = re.compile(r"(?:(?:^|\s)[A-E][.)]\s+[^?!\n]{1,90}?(?=\s[A-E][.)]\s|\n|$|[.]\s)[.]?){2,}")
 _QUESTION = re.compile(r"(?:which|who|what|how would|how many|how much|where)\b[^.!?\n]*\?", re.I)
-_FURNITURE = re.compile(r"^(?:home \||filed under|more stories|share this|log in|accept all|subscribe|related|tags?:|copyright|all rights|page not found|answer: ?[a-e]\b)[^\n]*$", re.I | re.M)
+#: Short lines only: a longer one that begins so is a sentence of the text.
+_FURNITURE = re.compile(r"^(?:home \||filed under|more stories|share this|log in|accept all|subscribe|related|tags?:|copyright|all rights|page not found|answer: ?[a-e]\b)[^\n]{0,80}$", re.I | re.M)
 _MARK = "\x1e"
-#: Phrases that take up a word in passing. Fixed values.
-_PASSING = re.compile(r"nothing to do with|jokes about|called the whole|named after|where the first")
 _STOP = re.compile(r"[.!?][\"”’»)\]]*(?:\s+|$)|\n+")
 _WORDS = re.compile(r"[^\w\x1e]+|_")
 
 
 def sentences(text: str) -> str:
-    """The text's own sentences in lower case, words parted by single spaces, sentences by a mark; quoted questions, page furniture and words in passing left out."""
+    """The text's own sentences in lower case, words parted by single spaces, sentences by a mark; quoted questions and page furniture left out."""
     if "?" in text:
         text = _OPTIONS.sub("\n", text)
         text = drop_questions(text)
     if "\n" in text or len(text) < 200:
         text = _FURNITURE.sub("\n", text)
     text = _STOP.sub(" \x1e ", text.lower())
-    if _PASSING.search(text):
-        text = _MARK.join(x for x in text.split(_MARK) if not _PASSING.search(x))
     return " " + _WORDS.sub(" ", text) + " "
 
 

@@ -269,6 +269,17 @@ def test_subjects_of_texts():
     assert of(law + quiz) == ["law"]
 
 
+def test_no_wording_takes_a_sentence_out():
+    of = lexicon().shares
+    for text in ("The crater was named after the comet. The nebula hid the pulsar.", "The clinic where the first vaccine was given stood there. The symptom came back with the tumor."):
+        assert len(lexicon().scores(subjects.sentences(text))) == 2
+    law = "The plaintiff asked the tribunal for bail. The jury heard the affidavit. A verdict followed the testimony. "
+    for borrowed in ("He called the whole evening a quasar and left.", "They spoke of it as a quasar of a party."):
+        assert of(law + borrowed) == {"law": 1.0}  # a lone word, however it is worded
+    line = "Related to this, the plaintiff asked the tribunal for bail, and the jury heard the affidavit of the defendant before the verdict."
+    assert of(line + "\n") == {"law": 1.0}
+
+
 def test_longer_terms_count_once():
     scores = lexicon().scores(subjects.sentences("The gradient of the training loss fell."))
     assert scores == [{"machine_learning": 2.0}]
