@@ -132,12 +132,13 @@ class Lexicon:
         """Each subject's share of the sentences that treat any, from the terms found in each.
 
         A sentence treats a subject if its score reaches the threshold. A lone term does so in a document that treats
-        the subject elsewhere too, or that treats no subject more than so; else it is a borrowed word.
+        the subject elsewhere too, be it by lone terms in two sentences or more that make a fifth of those with any
+        term, or that treats no subject more than so; else it is a borrowed word.
         """
         per = [self._sum(x) for x in hits]
         strong = {s for x in per for s, v in x.items() if v >= self.threshold}
         often = Counter(s for x in per for s in x)
-        strong |= {s for s, n in often.items() if n >= 3 and n >= SUBJECT_SHARE * 2 * len(per)}
+        strong |= {s for s, n in often.items() if n >= 2 and n >= SUBJECT_SHARE * len(per) - 1e-9}
         strong = strong or often.keys()
         treated = [t for x in per if (t := [s for s in x if s in strong])]
         count = Counter(s for t in treated for s in t)

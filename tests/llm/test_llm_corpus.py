@@ -280,6 +280,13 @@ def test_no_wording_takes_a_sentence_out():
     assert of(line + "\n") == {"law": 1.0}
 
 
+def test_recurring_lone_terms_count_from_a_fifth_on():
+    strong, lone = "The plaintiff asked the tribunal. ", "The quasar rose. "
+    assert lexicon().shares(strong * 7 + lone * 3) == {"law": 0.7, "astronomy": 0.3}
+    assert lexicon().subjects(strong * 8 + lone * 2) == ["astronomy", "law"]
+    assert lexicon().subjects(strong * 9 + lone * 2) == lexicon().subjects(strong * 4 + lone) == ["law"]
+
+
 def test_longer_terms_count_once():
     scores = lexicon().scores(subjects.sentences("The gradient of the training loss fell."))
     assert scores == [{"machine_learning": 2.0}]
