@@ -83,7 +83,8 @@ def shared_spans(texts: DataFrame) -> DataFrame:
     """Pairs of a text of the evaluation splits and one of the training split that share a span: ``a, b``, distinct.
 
     ``texts``: ``grp, words, text_id, in_train, in_eval``, distinct texts, of which only those of one ``grp`` are compared.
-    A span counts where it is left-maximal, so a long one meets once and not at each of its words.
+    The suffix array drops suffixes that share no three words with a neighbour, of whatever split; the pairs come from a
+    join of the rest on their first three words. A long span so meets at each of its words, and its length isn't measured.
     """
     # Cut while the words are one array: exploding first would copy all words for each suffix.
     cuts = F.transform(F.sequence(F.lit(1), F.size("words") - SHARED_WORDS + 1), lambda i: F.slice("words", i, F.lit(ORDER_WORDS)))
