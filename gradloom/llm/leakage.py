@@ -9,13 +9,15 @@ few sampled places are often all equal. Several walks with several samples each
 from __future__ import annotations
 
 import html
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import spread
 
@@ -25,30 +27,33 @@ EDIT_SHARE = 8
 #: Steps of a walk, walks, samples of each walk and places of each sample. Two windows that differ by
 #: two edits meet in at least one of the tables with a probability over 0.99 (measured in the tests).
 STEPS, WALKS, SAMPLES, PLACES = 40, 12, 4, 6
-#: Item bigrams that a window must hold: 18 words with two edits keep 13 of 17, denser spots some less.
-LEAST_BIGRAMS = 9
-#: Items of one index; a larger set is searched in blocks of so many, each block against all documents.
-BLOCK_ITEMS = 4000
+#: Item bigrams that a window must hold. No leak is lost by it: every leak has 18 item words with at most two edits, and an
+#: edit spoils two of the 17 bigrams of the words in their place at most.
+LEAST_BIGRAMS = WINDOW - 1 - 2 * (WINDOW // EDIT_SHARE)
+#: Items of one index, some MB, and indexes that one pass over the documents searches; more items take more passes.
+BLOCK_ITEMS, PASS_BLOCKS = 4000, 16
+#: Insertions and omissions by which a leak may leave the shift at which it was met: one in eight of twice 18 words, and two for the place met.
+DRIFT = (2 * WINDOW - 1) // EDIT_SHARE + WINDOW // EDIT_SHARE
+#: Documents whose words are one array.
+BATCH = 512
 _SEED = 20_160_318
 
-_TAG = re.compile(r"</?[a-z!][^<>]{0,200}>")
-_BREAK = re.compile(r"(?<=\w)[-‐‑­]\s*\n\s*(?=\w)")
-_INNER = re.compile(r"[-‐‑­'’`´​-‏⁠﻿*]")
-_OTHER = re.compile(r"[^\w\s]|_")
+
+def normal_text(texts: pa.Array) -> pa.Array:
+    """Words parted by single spaces, without letter case, punctuation and markup; a word broken at a line's end or by a hyphen is one. Null stays null."""
+    t = pc.utf8_lower(texts)
+    if pc.any(pc.match_substring(t, "<")).as_py():
+        t = pc.replace_substring_regex(t, r"</?[a-z!][^<>]*>", "")
+    if pc.any(pc.match_substring(t, "&")).as_py():
+        t = pa.array([html.unescape(x) if x and "&" in x else x for x in t.to_pylist()], pa.string())
+    t = pc.replace_substring_regex(t, r"([\pL\pN_])[-‐‑\x{ad}]\s*\n\s*", r"\1")
+    t = pc.replace_substring_regex(t, r"[-‐‑\x{ad}'’`´\x{200b}-\x{200f}\x{2060}\x{feff}*]+", "")
+    return pc.utf8_trim(pc.replace_substring_regex(t, r"[^\pL\pN]+", " "), " ")
 
 
 def leak_words(text: str | None) -> list[str]:
-    """Words without letter case, punctuation and markup; a word broken at a line's end or by a hyphen is one."""
-    if not text:
-        return []
-    t = text.lower()
-    if "<" in t:
-        t = _TAG.sub("", t)
-    if "&" in t:
-        t = html.unescape(t)
-    if "\n" in t:
-        t = _BREAK.sub("", t)
-    return _OTHER.sub(" ", _INNER.sub("", t)).split()
+    """The words of one text."""
+    return (normal_text(pa.array([text], pa.string()))[0].as_py() or "").split()
 
 
 def item_prints(ids: np.ndarray, bits: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -87,11 +92,15 @@ class LeakIndex:
         self.size = size
         self.items = [i for i, _ in words]
         self.texts = [np.array([self.vocab[x] for x in w], np.int32) for _, w in words]
+        self.names = pa.array(list(self.vocab), pa.string())
+        self.lengths = np.array([len(t) for t in self.texts], np.int64)
+        self.matrix = np.full((len(words), max([WINDOW, *self.lengths])), -1, np.int32)  # items by words
+        for k, t in enumerate(self.texts):
+            self.matrix[k, : len(t)] = t
         rng = np.random.default_rng(_SEED)
         self.bits = rng.integers(0, 2, (WALKS, STEPS, size), dtype=np.int64)
         self.places = np.stack([[np.sort(rng.choice(STEPS, PLACES, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)])
         pairs = [t[:-1].astype(np.int64) * size + t[1:] for t in self.texts]
-        self.grams = [(p, p[:-1] * size + t[2:]) for p, t in zip(pairs, self.texts)]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.slot(self.pairs)] = True
@@ -108,15 +117,6 @@ class LeakIndex:
     def slot(keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
-    def may_leak(self, part: np.ndarray, owner: int) -> bool:
-        """A necessary condition: an edit spoils at most two of the item's bigrams and three of its trigrams."""
-        e = WINDOW // EDIT_SHARE
-        two, three = self.grams[owner]
-        own = part[:-1].astype(np.int64) * self.size + part[1:]
-        if np.isin(two, own).sum() < WINDOW - 1 - 2 * e:
-            return False
-        return np.isin(three, own[:-1] * self.size + part[2:]).sum() >= WINDOW - 2 - 3 * e
-
     def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``ids``, a run of documents' words, and the item windows that share a table's hash with them."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -144,22 +144,36 @@ class LeakIndex:
         return (np.concatenate(found_at), np.concatenate(found)) if found else none
 
 
-def on_diagonal(doc: np.ndarray, item: np.ndarray, shift: int) -> bool:
-    """Whether changes alone, at one shift of the texts, already make a leak."""
-    lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-    if hi - lo < WINDOW - 2:
-        return False
-    good = item[lo:hi] == doc[lo + shift : hi + shift]
-    bad = np.concatenate([[-1], np.flatnonzero(~good), [hi - lo]])
-    e = 0
-    while e + 1 < len(bad) and e * EDIT_SHARE <= len(item):
-        length = bad[e + 1 :] - bad[: len(bad) - 1 - e] - 1
-        if length.max() >= max(WINDOW, e * EDIT_SHARE):
-            return True
-        if e == 0 and length.max() >= WINDOW - WINDOW // EDIT_SHARE and len(item) >= WINDOW:
-            return True  # the words lacking to the window count as dropped
-        e += 1
-    return False
+def dense(good: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Rows of ``good``, a row's first ``lengths`` places, with 18 places in a row or more of which at most one in eight isn't good."""
+    total = np.zeros((len(good), good.shape[1] + 1), np.int32)
+    np.cumsum(np.where(good, 1, 1 - EDIT_SHARE), axis=1, out=total[:, 1:])
+    least = np.minimum.accumulate(total[:, : total.shape[1] - WINDOW], axis=1)
+    inside = np.arange(WINDOW, total.shape[1]) <= lengths[:, None]
+    return ((total[:, WINDOW:] >= least) & inside).any(axis=1)
+
+
+class Words:
+    """The words of a batch of texts as one array of numbers; 0 stands for a word of no item and parts the texts."""
+
+    def __init__(self, index: LeakIndex, lists: pa.ListArray):
+        found = pc.fill_null(pc.index_in(lists.flatten(), value_set=index.names), -1).to_numpy(zero_copy_only=False).astype(np.int32) + 1
+        ends = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        n = len(lists)
+        self.begin = ends + np.arange(n + 1)
+        self.text = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.begin))
+        self.ids = np.zeros(self.begin[-1], np.int32)
+        own = np.ones(len(self.ids), bool)
+        own[self.begin[1:] - 1] = False
+        self.ids[own] = found
+        self.text[~own] = -1
+
+    def same(self, index: LeakIndex, text: np.ndarray, owner: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """Candidates by item words: whether the word of the text that lies over the item's at the shift is the same."""
+        at = shift[:, None] + np.arange(index.matrix.shape[1])
+        inside = (at >= 0) & (at < len(self.ids))
+        at = np.where(inside, at, len(self.ids) - 1)
+        return (self.ids[at] == index.matrix[owner]) & (self.text[at] == text[:, None]) & inside
 
 
 def leaks(doc: np.ndarray, item: np.ndarray) -> bool:
@@ -187,61 +201,47 @@ def leaks(doc: np.ndarray, item: np.ndarray) -> bool:
     return False
 
 
-def search_batch(index: LeakIndex, texts: list[str | None]) -> list[tuple[int, int]]:
-    """``(number of the text, item)`` of every leak in a batch of texts."""
-    get = index.vocab.get
-    parts, starts, at = [], [], 0
-    for t in texts:
-        own = [get(w, 0) for w in leak_words(t)]
-        starts.append(at)
-        parts.append(np.array(own, np.int32))
-        parts.append(np.zeros(1, np.int32))
-        at += len(own) + 1
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    position, window = index.candidates(ids)
+def search_batch(index: LeakIndex, lists: pa.ListArray) -> list[tuple[int, int]]:
+    """``(number of the text, item)`` of every leak in a batch of texts, given as lists of words.
+
+    Places met in the tables are judged all at once: changes alone at one shift make a leak, or else the words that any shift nearby
+    lays over each other must be dense enough, which few places pass that hold none. Those are verified exactly.
+    """
+    words = Words(index, lists)
+    position, window = index.candidates(words.ids)
     if not len(position):
         return []
-    begin = np.array([*starts, at], np.int64)
-    doc = np.searchsorted(begin, position, "right") - 1
-    owner = index.owner[window].astype(np.int64)
+    text, owner = words.text[position].astype(np.int64), index.owner[window].astype(np.int64)
     shift = position - index.offset[window]
-    seen = np.unique(np.stack([doc, owner, shift]), axis=1)
-    out, k = [], 0
-    while k < seen.shape[1]:
-        d, o = int(seen[0, k]), int(seen[1, k])
-        end = k
-        while end < seen.shape[1] and seen[0, end] == d and seen[1, end] == o:
-            end += 1
-        shifts = seen[2, k:end]
-        k = end
-        item = index.texts[o]
-        lo, hi = int(begin[d]), int(begin[d + 1]) - 1
-        if any(on_diagonal(ids[lo:hi], item, int(s) - lo) for s in shifts):
-            out.append((d, index.items[o]))
-            continue
-        # Regions of the document around the places found, joined where they meet.
-        slack = len(item) // EDIT_SHARE + 2
-        regions: list[list[int]] = []
-        for s in shifts:
-            a, b = max(lo, int(s) - slack), min(hi, int(s) + len(item) + slack)
-            if regions and a <= regions[-1][1]:
-                regions[-1][1] = max(regions[-1][1], b)
-            else:
-                regions.append([a, b])
-        for a, b in regions:
-            part = ids[a:b]
-            if index.may_leak(part, o) and leaks(part, item):
-                out.append((d, index.items[o]))
-                break
-    return out
+    n, wide = len(index.texts), index.matrix.shape[1]
+    span = len(words.ids) + wide
+    pair, shift = np.divmod(np.unique(((text * n + owner) * span + shift + wide)[text >= 0]), span)
+    (text, owner), shift = np.divmod(pair, n), shift - wide
+    good = dense(words.same(index, text, owner, shift), index.lengths[owner])
+    found = set(pair[good].tolist())
+    rest = ~np.isin(pair, pair[good])
+    text, owner, shift, pair = text[rest], owner[rest], shift[rest], pair[rest]
+    if len(pair):
+        near = words.same(index, text, owner, shift)
+        for d in range(1, DRIFT + 1):
+            near |= words.same(index, text, owner, shift - d) | words.same(index, text, owner, shift + d)
+        open_ = dense(near, index.lengths[owner])
+        for t, o, s, p in zip(text[open_].tolist(), owner[open_].tolist(), shift[open_].tolist(), pair[open_].tolist()):
+            if p in found:
+                continue
+            item = index.texts[o]
+            lo, hi = int(words.begin[t]), int(words.begin[t + 1]) - 1
+            if leaks(words.ids[max(lo, s - DRIFT) : min(hi, s + len(item) + DRIFT)], item):
+                found.add(p)
+    return [(p // n, index.items[p % n]) for p in sorted(found)]
 
 
 def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """``doc_id, item_id``, distinct: the documents that hold an item, whole or in part.
 
-    The items are a stated query set, searched in blocks of bounded size against all documents; a block's index
-    is broadcast (some MB, bounded by the block). Documents stay where they are: no shuffle of texts but the spreading of a few large
-    files. Null and empty texts hold nothing, items of fewer than 18 words are held by nothing; null ids fall out;
+    The items are a stated query set. They are indexed in blocks of bounded size; a block's index is broadcast (some MB, bounded by the
+    block), and one pass over the documents, whose words are told once, searches a bounded number of blocks. Documents stay where they
+    are: no shuffle of texts but the spreading of a few large files. Null and empty texts hold nothing, items of fewer than 18 words are held by nothing; null ids fall out;
     a repeated document or item counts once.
     """
     spark = docs.sparkSession
@@ -249,29 +249,36 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     wanted = items.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(item_id, item_text).distinct().orderBy(item_id, item_text)
     rows = docs.filter(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = spread(rows)
-    found = None
-
-    def over(block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(LeakIndex(block))
+    id_type = pa.int64() if isinstance(schema[1].dataType, T.LongType) else None
 
+    def over(shared: list[Broadcast]) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
-                for lo in range(0, batch.num_rows, 256):
-                    part = batch.slice(lo, 256)
-                    hits = search_batch(index, part.column(1).to_pylist())
-                    ids = part.column(0).take(pa.array([d for d, _ in hits], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i in hits], pa.int64())], names=["doc_id", "item_id"])
+                for lo in range(0, batch.num_rows, BATCH):
+                    part = batch.slice(lo, BATCH)
+                    lists = pc.split_pattern(normal_text(part.column(1)), " ")
+                    for index in shared:
+                        hits = search_batch(index.value, lists)
+                        ids = part.column(0).take(pa.array([d for d, _ in hits], pa.int64()))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i in hits], id_type)], names=["doc_id", "item_id"])
 
         return rows.mapInArrow(work, schema)
 
-    block: list[tuple[int, str]] = []
+    found, shared, block = None, [], []
+
+    def passed() -> DataFrame:
+        part = over(shared)
+        return part if found is None else found.unionByName(part)
+
     for row in wanted.toLocalIterator():
         block.append((row[0], row[1]))
         if len(block) == BLOCK_ITEMS:
-            part, block = over(block), []
-            found = part if found is None else found.unionByName(part)
-    if block or found is None:
-        part = over(block)
-        found = part if found is None else found.unionByName(part)
+            shared.append(spark.sparkContext.broadcast(LeakIndex(block)))
+            block = []
+            if len(shared) == PASS_BLOCKS:
+                found, shared = passed(), []
+    if block or found is None and not shared:
+        shared.append(spark.sparkContext.broadcast(LeakIndex(block)))
+    if shared:
+        found = passed()
     return found.distinct()
