@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, partitions_for
 
-#: Words two records must share in a row at least: records of n words that differ in a fifth of them share
-#: ceil((n - e) / (e + 1)) with e = n // 5, which is three or more but for five words (two) and fewer (all).
-SHARED_WORDS = 3
+#: One word in so many may differ between two records.
 EDIT_SHARE = 5
-#: Words by which suffixes are ordered. Spans longer than this are found again at their next words.
+#: Words of a span that counts as shared, and for records of at most ``SHORT`` words, where one edit may leave no longer span.
+SPAN, SHORT_SPAN, SHORT = 3, 2, 5
+#: Words by which suffixes are ordered and compared. A longer common prefix is found all the same: the suffix at the next word
+#: has it too, less one word, and coverage is the union over all suffixes.
 ORDER_WORDS = 24
 
 
@@ -44,66 +47,178 @@ def edit_distance_within(a: list[str], b: list[str], most: int) -> bool:
     return before.get(len(b), far) <= most
 
 
-def suffix_neighbours(suffixes: DataFrame) -> DataFrame:
-    """Suffixes that share a span with a neighbour of another text in the sorted order.
+def edits(n: Column | int) -> Column | int:
+    """Edits allowed where the longer record has ``n`` words."""
+    return F.floor(n / EDIT_SHARE).cast("int") if isinstance(n, Column) else n // EDIT_SHARE
 
-    ``suffixes``: ``grp, suffix`` (array), ``text_id, in_train, in_eval``. The array is cut into ranges and each is sorted;
-    the longest common prefix with the suffix before and after decides. The first and last rows of a range have
-    neighbours elsewhere and are kept. Nothing but two rows is held.
+
+def shared_words(a: list[str], b: list[str]) -> int:
+    """Words at the beginning that two suffixes have in common."""
+    k = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        k += 1
+    return k
+
+
+#: What a range of the array says of itself: its first and last suffix, the least prefix between neighbours, and the prefixes that its last
+#: (``after``) and first (``before``) suffix share with the nearest train and evaluation suffix inside, null if there is none.
+_RANGE = "first struct<grp:string,suffix:string>, last struct<grp:string,suffix:string>, least int, train_after int, eval_after int, train_before int, eval_before int"
+_ARRAY = f"part int, text_id string, pos int, common int, open array<int>, range struct<{_RANGE.replace(' struct', ':struct').replace(' int', ':int')}>"
+
+
+def scan_range(part: int, rows: pa.Table) -> pa.Table:
+    """The rows of one range, sorted, as :data:`_ARRAY`: for each suffix the words ``common`` with the nearest suffix of the other split inside the range, and ``open``,
+    the words it shares with the border before and after which the nearest train or evaluation suffix lies (in this order twice), -1 where one lies inside or isn't asked for.
+    Another row describes the range.
+
+    The prefix shared with a suffix further on is the least of the prefixes between neighbours on the way, so a pass forward and one backward carry two numbers.
+    """
+    grp, text, train, evals = (rows.column(c).to_pylist() for c in ("grp", "suffix", "in_train", "in_eval"))
+    n, suffix = len(grp), [s.split(" ") for s in text]
+    link = [shared_words(suffix[i], suffix[i + 1]) if grp[i] == grp[i + 1] else 0 for i in range(n - 1)]
+    common, opened = [0] * n, [[-1] * n for _ in range(4)]
+    ends = []
+    for backward in (False, True):
+        last, seen = [ORDER_WORDS, ORDER_WORDS], [False, False]  # words shared with the last train and evaluation suffix, or with the border
+        for i in range(n - 1, -1, -1) if backward else range(n):
+            if 0 <= (k := i if backward else i - 1) < n - 1:
+                last = [min(last[0], link[k]), min(last[1], link[k])]
+            for split, asked in enumerate((evals[i], train[i])):
+                if asked and seen[split]:
+                    common[i] = max(common[i], last[split])
+                elif asked:
+                    opened[2 * backward + split][i] = last[split]
+            for split, own in enumerate((train[i], evals[i])):
+                if own:
+                    last[split], seen[split] = ORDER_WORDS, True
+        ends.append([x if s else None for x, s in zip(last, seen)])
+    words = np.array([len(s) for s in suffix])
+    most = np.minimum(np.maximum.reduce([np.array(common), *map(np.array, opened)]), words)
+    keep = np.flatnonzero(most >= SHORT_SPAN)
+    kept = rows.take(pa.array(keep))
+    span = [{"grp": grp[i], "suffix": text[i]} for i in (0, n - 1)]
+    about = {"first": span[0], "last": span[1], "least": min(link, default=ORDER_WORDS)}
+    about |= dict(zip(("train_after", "eval_after", "train_before", "eval_before"), ends[0] + ends[1]))
+    limit = lambda xs: [min(xs[i], int(words[i])) for i in keep]
+    opens = list(map(list, zip(*(limit(o) for o in opened))))
+    return pa.table(
+        {
+            "part": pa.array([part] * (len(keep) + 1), pa.int32()), "text_id": [*kept.column("text_id").to_pylist(), None], "pos": pa.array([*kept.column("pos").to_pylist(), None], pa.int32()),
+            "common": pa.array([*limit(common), None], pa.int32()), "open": pa.array([*opens, None], pa.list_(pa.int32())), "range": pa.array([None] * len(keep) + [about], _ABOUT),
+        }
+    )
+
+
+_SPAN_TYPE = pa.struct([("grp", pa.string()), ("suffix", pa.string())])
+_ABOUT = pa.struct([("first", _SPAN_TYPE), ("last", _SPAN_TYPE), *((c, pa.int32()) for c in ("least", "train_after", "eval_after", "train_before", "eval_before"))])
+
+
+def carried(ranges: list[tuple[int, dict]]) -> list[tuple[int, list[int]]]:
+    """For each range, in order, the words that its border before shares with the nearest train and evaluation suffix before it, and so after it."""
+    out = {part: [0, 0, 0, 0] for part, _ in ranges}
+    for at, (suffixes, facing, order) in enumerate(((("train_after", "eval_after"), ("last", "first"), ranges), (("train_before", "eval_before"), ("first", "last"), ranges[::-1]))):
+        before, state = None, [0, 0]
+        for part, r in order:
+            if before is not None:
+                x, y = before[facing[0]], r[facing[1]]
+                near = shared_words(x["suffix"].split(" "), y["suffix"].split(" ")) if x["grp"] == y["grp"] else 0
+                state = [min(s, near) for s in state]
+            out[part][2 * at : 2 * at + 2] = state
+            state = [min(s, r["least"]) if r[c] is None else r[c] for s, c in zip(state, suffixes)]
+            before = r
+    return sorted(out.items())
+
+
+def cross_prefixes(suffixes: DataFrame) -> DataFrame:
+    """``text_id, pos, common``: the longest prefix, in words, that a suffix shares with a suffix of the other split.
+
+    ``suffixes``: ``grp, suffix`` (words joined by spaces), ``text_id, pos, in_train, in_eval``. The array is cut into ranges that are sorted each. In sorted order the longest
+    prefix is shared with the nearest suffix of the other split before or after (:func:`scan_range`). Ties are parted by text, so no suffix, however
+    frequent, makes a range of its own. Ranges are joined at their borders (:func:`carried`): a row about each range goes to the driver, whatever
+    the number of texts. A text of both splits may meet itself, which can only keep more. Suffixes sharing less than ``SHORT_SPAN`` fall out.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def enough(x: tuple, y: tuple) -> bool:
-            k = min(SHARED_WORDS, len(x[1]), len(y[1]))
-            return x[0] == y[0] and x[1][:k] == y[1][:k] and k == SHARED_WORDS
+        rows = pa.Table.from_batches(got) if (got := list(batches)) else None
+        if rows is not None and rows.num_rows:
+            yield from scan_range(TaskContext.get().partitionId(), rows).combine_chunks().to_batches()
 
-        held, linked = None, True  # the row before, and whether it is kept already
-        for batch in batches:
-            out = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if held is None:
-                    held, linked = row, True
-                    continue
-                near = enough(held, row)
-                if linked or near:
-                    out.append(held)
-                held, linked = row, near
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(i).type) for i, c in enumerate(zip(*out))], names=batch.schema.names)
-            last = batch
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([c], last.schema.field(i).type) for i, c in enumerate(held)], names=last.schema.names)
-
-    parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = suffixes.select("grp", "suffix", "text_id", "in_train", "in_eval").repartitionByRange(parts, "grp", "suffix")
-    return ordered.sortWithinPartitions("grp", "suffix").mapInArrow(scan, suffixes.select("grp", "suffix", "text_id", "in_train", "in_eval").schema)
+    columns = ["grp", "suffix", "text_id", "pos", "in_train", "in_eval"]
+    ordered = suffixes.select(columns).repartitionByRange(partitions_for(suffixes, 4), "grp", "suffix", "text_id").sortWithinPartitions("grp", "suffix", "text_id")
+    array = materialise(ordered.mapInArrow(scan, _ARRAY), "overlap-array")
+    ranges = sorted((r["part"], r["range"].asDict(recursive=True)) for r in array.filter("range is not null").select("part", "range").collect())
+    borders = suffixes.sparkSession.createDataFrame(carried(ranges), "part int, carry array<int>")
+    best = F.array_max(F.concat(F.array("common"), F.zip_with("open", "carry", lambda a, b: F.least(a, b))))
+    rows = array.filter("range is null").join(F.broadcast(borders), "part")  # a row for each range
+    return rows.select("text_id", "pos", best.alias("common")).filter(F.col("common") >= SHORT_SPAN)
 
 
-def shared_spans(texts: DataFrame) -> DataFrame:
-    """Pairs of a text of the evaluation splits and one of the training split that share a span: ``a, b``, distinct.
+def least_over_partners(n: Column, of: Callable[[Column], Column]) -> Column:
+    """The least value over the lengths that the longer record of a pair may have, one of them having ``n`` words."""
+    longest = F.floor(n * EDIT_SHARE / (EDIT_SHARE - 1)).cast("int")
+    return F.array_min(F.transform(F.sequence(n, longest), of))
+
+
+def covered(spans: DataFrame) -> DataFrame:
+    """The texts that may have a partner. ``spans``: ``words`` and ``found``, structs of a position and the words it shares.
 
-    ``texts``: ``grp, words, text_id, in_train, in_eval``, distinct texts, of which only those of one ``grp`` are compared.
-    The suffix array drops suffixes that share no three words with a neighbour, of whatever split; the pairs come from a
-    join of the rest on their first three words. A long span so meets at each of its words, and its length isn't measured.
+    A record's coverage is the union of the spans that it shares with any record of the other split. Where the longer record has ``m`` words and ``e`` edits are
+    allowed, ``m - e`` words of each stand in at most ``e + 1`` common blocks, of which at most ``e`` are shorter than a span and lose ``span - 1`` words
+    each: a record covered less than ``m - span * e`` for every ``m`` has no partner.
     """
+    n = F.size("words")
+    span = F.when(n <= SHORT, SHORT_SPAN).otherwise(SPAN)
+    used = F.array_sort(F.filter("found", lambda s: s["common"] >= span))
+    union = F.aggregate(
+        used,
+        F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),
+        lambda a, s: F.struct(
+            (a["sum"] + F.greatest(s["pos"] + s["common"] - F.greatest(a["end"], s["pos"]), F.lit(0))).alias("sum"), F.greatest(a["end"], s["pos"] + s["common"]).alias("end")
+        ),
+    )
+    return spans.filter(union["sum"] >= least_over_partners(n, lambda m: m - span * edits(m)))
+
+
+def covered_texts(texts: DataFrame) -> DataFrame:
+    """The rows of ``texts`` that may have a partner, with ``found``; see :func:`cross_prefixes` and :func:`covered`."""
     # Cut while the words are one array: exploding first would copy all words for each suffix.
-    cuts = F.transform(F.sequence(F.lit(1), F.size("words") - SHARED_WORDS + 1), lambda i: F.slice("words", i, F.lit(ORDER_WORDS)))
-    long = texts.filter(F.size("words") >= SHARED_WORDS)
-    suffixes = long.select("grp", F.explode(cuts).alias("suffix"), "text_id", "in_train", "in_eval")
-    near = suffix_neighbours(suffixes).withColumn("seed", F.xxhash64("grp", F.slice("suffix", 1, SHARED_WORDS))).select("grp", "seed", "text_id", "in_train", "in_eval")
-    seeds = near.distinct()
-    left = seeds.filter("in_eval").select("grp", "seed", F.col("text_id").alias("a"))
-    right = seeds.filter("in_train").select("grp", "seed", F.col("text_id").alias("b"))
-    return left.join(right, ["grp", "seed"]).filter("a <> b").select("a", "b").distinct()
+    cuts = F.transform(
+        F.sequence(F.lit(0), F.size("words") - SHORT_SPAN), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("words", i + 1, F.lit(ORDER_WORDS)), " ").alias("suffix"))
+    )
+    suffixes = texts.filter(F.size("words") >= SHORT_SPAN).select("grp", "text_id", "in_train", "in_eval", F.inline(cuts))
+    found = cross_prefixes(suffixes).groupBy("text_id").agg(F.collect_list(F.struct("pos", "common")).alias("found"))
+    return covered(texts.join(found, "text_id"))
+
 
+def shared_spans(texts: DataFrame) -> DataFrame:
+    """Pairs of a text of the evaluation splits and one of the training split that may be near: ``a, b``, distinct.
 
-def short_texts(texts: DataFrame) -> DataFrame:
-    """Pairs of texts of five words that share two words at one end, which the suffix array's spans of three miss."""
-    five = texts.filter(F.size("words").between(4, 6))
-    ends = five.select("grp", "text_id", "in_train", "in_eval", F.explode(F.array(*[F.array_join(F.array_compact(F.array(*[F.get("words", F.lit(j)) for j in range(i, i + 2)])), " ") for i in range(5)])).alias("seed")).distinct()
-    left = ends.filter("in_eval").select("grp", "seed", F.col("text_id").alias("a"))
-    right = ends.filter("in_train").select("grp", "seed", F.col("text_id").alias("b"))
-    return left.join(right, ["grp", "seed"]).filter("a <> b").select("a", "b").distinct()
+    ``texts``: ``grp, words, text_id, in_train, in_eval``, distinct texts, of which only those of one ``grp`` are compared. Coverage by shared spans leaves the texts
+    that may have a partner. Two near records share ``n - SPAN + 1 - SPAN * e`` of their span starts at least, so they share one among the first of each
+    in any one order of spans: only so many, the rarest first, are joined, and a frequent opening brings no pairs together by itself.
+    """
+    kept = materialise(covered_texts(texts), "overlap-covered")
+    n = F.size("words")
+
+    def starts(span: int) -> Column:
+        """Seeds: the spans that begin where as many words are shared."""
+        return F.transform(F.filter("found", lambda s: s["common"] >= span), lambda s: F.xxhash64("grp", F.lit(span), F.slice("words", s["pos"] + 1, F.lit(span))))
+
+    least = F.greatest(least_over_partners(n, lambda m: m - SPAN + 1 - SPAN * edits(m)), F.lit(1))
+    short = F.when(n <= SHORT, starts(SHORT_SPAN)).otherwise(F.array().cast("array<bigint>"))
+    seeds = kept.select("text_id", "in_train", "in_eval", starts(SPAN).alias("long"), short.alias("short"), least.alias("least"))
+    seeds = seeds.withColumn("first", F.greatest(F.size("long") - F.col("least") + 1, F.lit(0)))
+    each = seeds.select("text_id", F.explode("long").alias("seed"))
+    uses = each.groupBy("seed").agg(F.count("*").alias("uses"))
+    rank = each.join(uses, "seed").groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("uses", "seed"))).alias("ranked"))
+    chosen = seeds.join(rank, "text_id", "left").withColumn(
+        "seed", F.explode(F.array_distinct(F.concat(F.coalesce(F.slice("ranked.seed", 1, F.col("first")), F.array().cast("array<bigint>")), "short")))
+    )
+    left = chosen.filter("in_eval").select("seed", F.col("text_id").alias("a"))
+    right = chosen.filter("in_train").select("seed", F.col("text_id").alias("b"))
+    return left.join(right, "seed").filter("a <> b").select("a", "b").distinct()
 
 
 def prepared(records: DataFrame) -> DataFrame:
@@ -138,7 +253,7 @@ def cross_split_pairs(records: DataFrame) -> DataFrame:
         F.first("words").alias("words"), (F.min("kind") == 0).alias("in_train"), (F.max("kind") == 1).alias("in_eval")
     )
     texts = materialise(texts, "overlap-texts")
-    found = shared_spans(texts).unionByName(short_texts(texts)).distinct()
+    found = shared_spans(texts)
     words = texts.select("text_id", "words")
     both = found.join(words.withColumnsRenamed({"text_id": "a", "words": "x"}), "a").join(words.withColumnsRenamed({"text_id": "b", "words": "y"}), "b")
 
