@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
+
 #: Everything but letters, digits and marks, save a minus sign before a number and a decimal point
 #: before a digit; and marks and letters that are invisible.
 _NOISE = (
@@ -67,11 +69,15 @@ def collapse(records: DataFrame, column: str, row_id: str) -> DataFrame:
 def surplus_copies(records: DataFrame, column: str, row_id: str) -> DataFrame:
     """``first_row, row``: every copy but the first of each record that has copies.
 
-    The join's side of records holds one row for each record with copies; a hot record's rows are many on the
-    other side only, where adaptive execution splits them.
+    Every record is normalised and digested once, and written. Digests alone, without the forms, are counted; only the rows of a digest
+    that occurs twice are compared in full. The join's side of heads holds one row for each record with copies; a hot record's
+    rows are many on the other side only, where adaptive execution splits them.
     """
-    rows = with_root(records.select(row_id, column), column).select(F.col(row_id).alias("row"), "_root", "_form")
-    heads = collapse(records.select(row_id, column), column, row_id).filter("copies > 1")
-    heads = heads.select(F.col("_root").alias("_r"), F.col("_form").alias("_f"), "first_row")
-    same = (F.col("_root") == F.col("_r")) & F.col("_form").eqNullSafe(F.col("_f"))
+    formed = with_root(records.select(row_id, column), column)
+    rows = materialise(formed.select(F.col(row_id).alias("row"), F.unhex("_root").alias("root"), F.col("_form").alias("form")), "merkle-rows")
+    twice = rows.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    suspects = rows.join(twice, "root", "left_semi")
+    heads = suspects.groupBy("root", "form").agg(F.min("row").alias("first_row"), F.count("*").alias("copies")).filter("copies > 1")
+    heads = heads.select(F.col("root").alias("_r"), F.col("form").alias("_f"), "first_row")
+    same = (F.col("root") == F.col("_r")) & F.col("form").eqNullSafe(F.col("_f"))
     return rows.join(heads, same).filter("row <> first_row").select("first_row", "row")
