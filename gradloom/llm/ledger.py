@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows of one hour and pool beyond which the hour is parted further.
-BUCKET_ROWS = 100_000
+from ..session import materialise, partitions_for
 
 LEDGER = T.StructType(
     [
@@ -21,49 +21,53 @@ LEDGER = T.StructType(
 )
 
 
-def ranked(candidates: DataFrame) -> DataFrame:
-    """``pool, key, arrival, priority`` ranked within each pool by ``(arrival, priority, key)`` from 1: adds ``rank``.
+def ranked(rows: DataFrame, order: list[str], ranges: int) -> DataFrame:
+    """Adds ``rank``, from 1 within each ``pool`` in the order of the columns given, which must tell all rows of a pool apart.
 
-    Counts of small buckets in that order, summed up, give every bucket its first rank; the rows of a bucket are ranked by
-    themselves. So a pool that holds all rows is spread over many tasks. A bucket is one day of arrivals and, within
-    equal arrivals only, a slice of the hash range.
+    Rows are cut into so many ``ranges`` by pool and order, so a pool that holds all rows, or arrived all at once, spreads over many tasks; counts
+    of a pool's rows by partition, summed up, are the ranks that its partitions begin with. The sorted rows are written before they are counted: ranges are
+    drawn from a sample, and rows counted in one draw must not be ranked in another.
     """
-    arrival = F.coalesce("arrival", F.lit("1970-01-01").cast("timestamp"))
-    rows = candidates.withColumn("_arrival", arrival).withColumn("_bucket", F.struct(F.date_trunc("hour", arrival).alias("hour"), F.lit("").alias("slice")))
-    # An hour that alone holds many rows, a bulk load say, has its rows by arrival and two hash digits.
-    crowded = rows.groupBy("pool", "_bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS).select("pool", "_bucket", F.lit(True).alias("_crowded"))
-    rows = rows.join(crowded, ["pool", "_bucket"], "left")
-    fine = F.struct(F.col("_arrival").alias("hour"), F.substring("priority", 1, 2).alias("slice"))
-    rows = rows.withColumn("_bucket", F.when(F.col("_crowded"), fine).otherwise(F.col("_bucket"))).drop("_crowded")
-    counts = rows.groupBy("pool", "_bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("pool").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = Window.partitionBy("pool", "_bucket").orderBy("_arrival", "priority", "key")
-    return (
-        rows.withColumn("_own", F.row_number().over(within))
-        .join(offsets, ["pool", "_bucket"])
-        .withColumn("rank", F.col("_offset") + F.col("_own"))
-        .drop("_bucket", "_arrival", "_own", "_offset")
-    )
+    ranged = rows.repartitionByRange(ranges, "pool", *order).sortWithinPartitions("pool", *order)
+    placed = materialise(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ledger-ranks")
+    counts = placed.groupBy("pool", "_part").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("pool").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each pool and partition
+    starts = counts.select("pool", "_part", "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    joined = placed.join(starts, ["pool", "_part"])
+    return joined.withColumn("rank", F.col("_start") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_first", "_start")
+
+
+def early_enough(keys: DataFrame, quotas: DataFrame, by: list[str]) -> DataFrame:
+    """``pool, quota, ...`` of ``quotas`` with ``_until``: the hour in which the pool's quota is surely filled, null if all keys are needed.
+
+    ``keys``: ``by..., arrival``, of which quotas' ``by`` names the pool's. Keys are counted by hour; as many as the quota arrived up to that hour, and since
+    the ledger's own keys are among the quota, enough of them are unseen. Only counts are sorted.
+    """
+    hours = keys.groupBy(*by, F.date_trunc("hour", "arrival").alias("_hour")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*by).orderBy("_hour")
+    summed = hours.withColumn("_n", F.sum("n").over(upto)).drop("n")
+    at = quotas.join(summed, by, "left").groupBy("pool").agg(F.min(F.when(F.col("_n") >= F.col("quota"), F.col("_hour"))).alias("_until"))
+    return quotas.join(at, "pool")
 
 
-def grow(ledger: DataFrame, candidates: DataFrame, quotas: DataFrame) -> DataFrame:
+def grow(ledger: DataFrame, keys: DataFrame, quotas: DataFrame, by: list[str], order: list[str] | None = None) -> DataFrame:
     """The ledger after a growth step: ``pool, key, rank``.
 
-    ``candidates``: ``pool, key, arrival``; ``quotas``: ``pool, quota, seed``, one row a pool; a null quota takes all. Earlier keys are
-    kept by a join, whether or not they are among the candidates still. The quota's rest is filled from unseen
-    keys in order of arrival, those that arrived together by lowest hash priority, which depends on pool, seed and key alone. So
-    what was chosen from the rows up to any time stays chosen when later rows have come, even where no ledger was kept.
-    Null keys are no candidates; a key that comes again counts by its first arrival.
+    ``keys``: ``by..., key, arrival``, one row for each key of a dataset; ``quotas``: ``pool, quota, seed, by...``, one row a pool; a null quota takes all. Earlier
+    keys are kept by a join, whether or not they are among the keys still. The quota's rest is filled from unseen keys. With ``order`` left out they are taken in order of
+    arrival, those that arrived together by lowest hash priority, so that what was chosen from the rows up to any time stays chosen when later rows have
+    come, even where no ledger was kept; ``["priority"]`` takes the lowest priorities whenever they came. The priority hashes pool, seed and key alone.
+    Keys that came too late to be chosen fall out before anything is ranked.
     """
-    first = candidates.filter("key is not null").groupBy("pool", "key").agg(F.min("arrival").alias("arrival"))
     kept = ledger.groupBy("pool").agg(F.count("*").alias("kept"))
-    unseen = first.join(ledger.select("pool", "key"), ["pool", "key"], "left_anti")
-    wanted = quotas.join(kept, "pool", "left").select("pool", "quota", "seed", F.coalesce("kept", F.lit(0)).alias("kept"))
-    priority = F.sha2(F.concat_ws("|", "pool", "seed", "key"), 256)
-    ordered = ranked(unseen.join(wanted, "pool").withColumn("priority", priority))
-    fresh = ordered.filter("quota is null or rank <= quota - kept").select("pool", "key", (F.col("kept") + F.col("rank")).alias("rank"))
-    return ledger.select("pool", "key", "rank").unionByName(fresh)
+    wanted = quotas.join(kept, "pool", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    wanted = early_enough(keys, wanted, by) if order is None else wanted.withColumn("_until", F.lit(None).cast("timestamp"))
+    wanted = wanted.filter("quota is null or quota > kept")
+    rows = keys.join(wanted, by).filter(F.col("_until").isNull() | (F.date_trunc("hour", "arrival") <= F.col("_until")))
+    unseen = rows.select("pool", "key", "arrival", "quota", "seed", "kept").join(ledger.select("pool", "key"), ["pool", "key"], "left_anti")
+    with_priority = unseen.withColumn("priority", F.sha2(F.concat_ws("|", "pool", "seed", "key"), 256)).drop("seed")
+    fresh = ranked(with_priority, [*(order or ["arrival", "priority"]), "key"], partitions_for(keys, 2)).filter("quota is null or rank <= quota - kept")
+    return ledger.select("pool", "key", "rank").unionByName(fresh.select("pool", "key", (F.col("kept") + F.col("rank")).alias("rank")))
 
 
 class SelectionLedger:
@@ -92,13 +96,16 @@ class SelectionLedger:
             return self.spark.createDataFrame([], LEDGER)
         return self.spark.read.schema(LEDGER).parquet(f"{self.path}/v{done[-1]}")
 
-    def advance(self, candidates: DataFrame, quotas: DataFrame) -> DataFrame:
-        """One growth step, written as the next version."""
+    def advance(self, keys: DataFrame, quotas: DataFrame, by: list[str], order: list[str] | None = None) -> DataFrame:
+        """One growth step (:func:`grow`), written as the next version."""
         number = (self._versions() or [0])[-1] + 1
-        grow(self.current(), candidates, quotas).write.parquet(f"{self.path}/v{number}")
+        grow(self.current(), keys, quotas, by, order).write.parquet(f"{self.path}/v{number}")
         return self.current()
 
 
+DATASET = ["dataset", "split"]
+
+
 def sweep_pools(sweeps: DataFrame) -> DataFrame:
     """``sweep_id, pool, dataset, split, quota, seed``: what each sweep asks of each dataset and split; distinct."""
     target = F.explode("spec.targets").alias("t")
@@ -110,29 +117,44 @@ def sweep_pools(sweeps: DataFrame) -> DataFrame:
     )
 
 
-def examples(tables: list[DataFrame]) -> DataFrame:
-    """``dataset, split, key, arrival`` of the datasets' tables, which may differ in their other columns."""
+def arrivals(tables: list[DataFrame]) -> DataFrame:
+    """``dataset, split, key, arrival``: the keys of the datasets' tables, which may differ in their other columns, with their first arrival. Written once.
+
+    Null keys are no keys; a key that comes again counts by its first arrival, an unknown one being the earliest.
+    """
     parts = [t.select("dataset", "split", F.col("example_id").alias("key"), F.col("added_at").alias("arrival")) for t in tables]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = reduce(DataFrame.unionByName, parts).filter("key is not null and dataset is not null and split is not null")
+    first = rows.groupBy("dataset", "split", "key").agg(F.min("arrival").alias("arrival"))
+    return materialise(first.withColumn("arrival", F.coalesce("arrival", F.lit("1970-01-01").cast("timestamp"))), "ledger-arrivals")
 
 
-def sweep_samples(rows: DataFrame, sweeps: DataFrame, book: SelectionLedger, cuts: list[datetime] | None = None) -> DataFrame:
-    """``sweep_id, dataset, split, example_id``: the sample of each sweep and target.
+def sweep_samples(keys: DataFrame, sweeps: DataFrame, book: SelectionLedger) -> DataFrame:
+    """``sweep_id, dataset, split, example_id``: the sample of each sweep and target. ``keys`` as :func:`arrivals` gives them.
 
     Sweeps that draw on one dataset, split and seed share one order of its keys, so a ledger serves them all: it holds each
-    pool's keys up to the largest limit, and a sweep takes the ranks up to its own. A null limit takes all, 0 none. The ledger grows once for
-    the rows up to each of ``cuts``, as it does when they come in batches, and then for all.
+    pool's keys up to the largest limit, and a sweep takes the ranks up to its own. A null limit takes all, 0 none. The ledger given grows by one step.
     """
     asked = sweep_pools(sweeps)
-    quotas = asked.groupBy("pool", "dataset", "split", "seed").agg(
-        F.max("quota").alias("most"), F.max(F.col("quota").isNull().cast("int")).alias("all")
-    )
-    quotas = quotas.select("pool", "dataset", "split", "seed", F.when(F.col("all") == 0, F.col("most")).alias("quota"))
-    candidates = rows.join(quotas.select("pool", "dataset", "split"), ["dataset", "split"]).select("pool", "key", "arrival")
-    for cut in cuts or []:
-        book.advance(candidates.filter(F.col("arrival") <= F.lit(cut)), quotas.select("pool", "quota", "seed"))
-    grown = book.advance(candidates, quotas.select("pool", "quota", "seed"))
+    quotas = asked.groupBy("pool", *DATASET, "seed").agg(F.max("quota").alias("most"), F.max(F.col("quota").isNull().cast("int")).alias("all"))
+    quotas = quotas.select("pool", *DATASET, "seed", F.when(F.col("all") == 0, F.col("most")).alias("quota"))
+    grown = book.advance(keys, quotas, DATASET)
     return grown.join(asked, "pool").filter("quota is null or rank <= quota").select("sweep_id", "dataset", "split", F.col("key").alias("example_id"))
+
+
+def share_samples(keys: DataFrame, cuts: list[datetime | str], percent: int, book: SelectionLedger, seed: int = 0) -> DataFrame:
+    """``dataset, split, example_id, version``: a sample of each dataset and split that grows with it to ``percent`` of its keys, rounded up.
+
+    The ledger grows by one step for the keys that had arrived at each of ``cuts``. A quota so grows with what has arrived, and is filled from unseen keys of lowest
+    hash priority; keys of earlier versions stay. ``version`` is the first step that chose the key, from 1.
+    """
+    keys = keys.withColumn("pool", F.concat_ws("|", *DATASET, F.lit(str(seed))))
+    out = None
+    for step, cut in enumerate(cuts, 1):
+        there = keys.filter(F.col("arrival") <= F.lit(cut).cast("timestamp"))
+        quotas = there.groupBy("pool", *DATASET).agg(F.ceil(F.count("*") * percent / 100).cast("int").alias("quota")).withColumn("seed", F.lit(seed))
+        grown = book.advance(there.drop("pool"), quotas, DATASET, ["priority"])
+        fresh = grown if out is None else grown.join(out.select("pool", "key"), ["pool", "key"], "left_anti")
+        fresh = fresh.select("pool", "key", F.lit(step).alias("version"))
+        out = fresh if out is None else out.unionByName(fresh)
+    named = keys.select("pool", *DATASET).distinct()
+    return out.join(named, "pool").select(*DATASET, F.col("key").alias("example_id"), "version")

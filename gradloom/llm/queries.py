@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,28 +11,37 @@ from ..session import table, work_dir
 from . import leakage, ledger, merkle, packing, repetition, split_overlap, splitting, subjects, truncation
 
 
-def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gens = truncation.generations(table(spark, sf_dir, "predictions")).filter("generation is not null and request_hash is not null")
-    return repetition.repetition(gens, "request_hash", "generation", "model_id")
+def _generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.generations(table(spark, sf_dir, "predictions")).filter("generation is not null and request_hash is not null")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generations made mostly of repeats."""
-    return _shares(spark, sf_dir).filter("fails").select(F.col("doc_id").alias("request_hash")).distinct()
+    return repetition.failing(_generations(spark, sf_dir), "request_hash", "generation", "model_id").withColumnRenamed("doc_id", "request_hash")
 
 
 def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every generation's repeated share with its host's verdict."""
-    return _shares(spark, sf_dir).select(
-        F.col("doc_id").alias("request_hash"), F.col("host").alias("model_id"), F.round("repeated", 6).alias("repeated"), "fails", "host_rate", "bad_host"
-    )
+    return repetition.repetition(_generations(spark, sf_dir), "request_hash", "generation", "model_id").select(
+        F.col("doc_id").alias("request_hash"), F.col("host").alias("model_id"), *[F.round(f"repeated{x}", 6).alias(f"repeated{x}") for x in ("", "_sentences", "_paragraphs")],
+        "fails", "host_rate", "bad_host",
+    )
+
+
+def _hosts(spark: SparkSession, sf_dir: str, rules: tuple[str, ...]) -> DataFrame:
+    shares = repetition.measured_once(_generations(spark, sf_dir), "request_hash", "generation", "model_id")
+    each = [repetition.host_verdicts(shares, "host", r).select(F.col("host").alias("model_id"), F.lit(r).alias("rule"), "n_docs", "n_failed", "rate", "bad_host") for r in rules]
+    return reduce(DataFrame.unionByName, each)
 
 
 def p1_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shrunk failure rates by model."""
-    gens = truncation.generations(table(spark, sf_dir, "predictions")).filter("generation is not null")
-    once = gens.select("request_hash", "model_id", "generation").distinct()
-    return repetition.host_verdicts(repetition.measured(once, "generation"), "model_id").withColumnRenamed("host", "model_id")
+    """Shrunk failure rates by model and document rule."""
+    return _hosts(spark, sf_dir, tuple(repetition.RULES))
+
+
+def p1_part_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shrunk failure rates by model, of the rules on sentences and paragraphs."""
+    return _hosts(spark, sf_dir, ("sentences", "paragraphs"))
 
 
 def _mmlu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +73,22 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("split", split_overlap.collection_of(F.col("eval_id")).alias("source")).agg(F.count("*").alias("n_pairs"))
 
 
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.arrivals([table(spark, sf_dir, t) for t in ("arc_easy", "mmlu", "gsm8k", "wikitext")])
+
+
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The examples that each sweep's limit chooses, by a ledger that grows in two batches: the first half of the time, then all."""
-    rows = ledger.examples([table(spark, sf_dir, t) for t in ("arc_easy", "mmlu", "gsm8k", "wikitext")])
-    first, last = rows.agg(F.min("arrival"), F.max("arrival")).first()
-    book = ledger.SelectionLedger(spark, work_dir(spark))
-    return ledger.sweep_samples(rows, table(spark, sf_dir, "sweep_specs"), book, [first + (last - first) / 2] if first else [])
+    """The examples that each sweep's limit chooses."""
+    return ledger.sweep_samples(_arrivals(spark, sf_dir), table(spark, sf_dir, "sweep_specs"), ledger.SelectionLedger(spark, work_dir(spark)))
+
+
+#: Times up to which rows had arrived at each growth step of :func:`p5_growth`, and its share.
+GROWTH_CUTS, GROWTH_PERCENT = ("2024-03-01", "2024-08-01", "2100-01-01"), 10
+
+
+def p5_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of each dataset and split, by lowest hash priority, kept in a ledger that grows as rows arrive."""
+    return ledger.share_samples(_arrivals(spark, sf_dir), list(GROWTH_CUTS), GROWTH_PERCENT, ledger.SelectionLedger(spark, work_dir(spark)))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,5 +155,5 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_shares, p1_hosts, p2_found, p2_records, p4_found, p4_counts, p5_sample, p6_found, p6_rates, p7_found, p7_pieces, p8_containers, p8_fill, p9_found, p9_items, p10_found, p10_composition)
+    for f in (p1_found, p1_shares, p1_hosts, p1_part_hosts, p2_found, p2_records, p4_found, p4_counts, p5_sample, p5_growth, p6_found, p6_rates, p7_found, p7_pieces, p8_containers, p8_fill, p9_found, p9_items, p10_found, p10_composition)
 }

@@ -51,6 +51,47 @@ def test_overlap_against_brute_force(spark):
     assert overlap(spark, rows) == want and len(want) > 60
 
 
+def test_prefixes_shared_with_the_other_split(spark):
+    rng = random.Random(2)
+    texts = [(f"g{i % 2}", [rng.choice("abc") for _ in range(rng.randint(2, 9))], f"t{i}", *rng.choice([(True, False), (False, True)])) for i in range(60)]
+    rows = [(g, " ".join(w[p:]), t, p, tr, ev) for g, w, t, tr, ev in texts for p in range(len(w) - 1)]
+    frame = spark.createDataFrame(rows, "grp string, suffix string, text_id string, pos int, in_train boolean, in_eval boolean")
+    got = {(r["text_id"], r["pos"]): r["common"] for r in split_overlap.cross_prefixes(frame).collect()}
+
+    def common(a, b):
+        k = 0
+        for x, y in zip(a.split(), b.split()):
+            if x != y:
+                break
+            k += 1
+        return k
+
+    exact = []
+    for g, s, t, p, tr, ev in rows:
+        least = max((common(s, s2) for g2, s2, t2, p2, tr2, ev2 in rows if g2 == g and (t2, p2) != (t, p) and t2 != t and (tr and ev2 or ev and tr2)), default=0)
+        assert got.get((t, p), 0) >= (least if least >= split_overlap.SHORT_SPAN else 0)  # nothing shared is missed
+        if tr != ev:
+            exact.append(got.get((t, p), 0) == (least if least >= split_overlap.SHORT_SPAN else 0))
+    assert all(exact)  # also at the borders of ranges
+
+
+def test_the_suffix_array_decides_the_candidates(spark, monkeypatch):
+    # evaluation questions share an opening with many train questions, and one of them is nearly the same
+    opening = "which of the following"
+    rng = random.Random(5)
+    train = [(f"t{i}", "train", (opening + " " + " ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 99)}" for _ in range(12)), ["true", "false"], 0)) for i in range(200)]
+    evals = [(f"v{i}", "test", (opening + " " + " ".join(f"{rng.choice('ijklmnop')}{rng.randint(0, 99)}" for _ in range(12)), ["true", "false"], 0)) for i in range(50)]
+    near = ("near", "test", (train[7][2][0] + " indeed", ["false", "true"], 0))
+    frame = spark.createDataFrame([*train, *evals, near], ARC)
+    rows = split_overlap.prepared(frame)
+    texts = rows.select("grp", "text_id", "words", (F.col("kind") == 0).alias("in_train"), (F.col("kind") == 1).alias("in_eval"))
+    assert {r["text_id"] for r in split_overlap.covered_texts(texts).collect()} == {r["text_id"] for r in rows.filter("example_id in ('t7', 'near')").collect()}
+    assert split_overlap.shared_spans(texts).count() == 1  # the opening alone, in 200 by 51 pairs, brings none together
+    assert sorted(tuple(r) for r in split_overlap.cross_split_pairs(frame).select("train_id", "eval_id").collect()) == [("t7", "near")]
+    monkeypatch.setattr(split_overlap, "cross_prefixes", lambda x: x.selectExpr("text_id", "pos", "size(split(suffix, ' ')) as common"))
+    assert split_overlap.covered_texts(texts).count() == 251
+
+
 def test_overlap_edges(spark):
     q = "one two three four five six"
     rows = [
@@ -71,43 +112,80 @@ def keys(frame):
 
 
 def pool(spark, n, start=0):
-    return spark.range(start, n).select(F.lit("p").alias("pool"), F.col("id").cast("string").alias("key"), F.timestamp_seconds(F.col("id") % 50 + 1000 * (F.col("id") >= 500).cast("int")).alias("arrival"))
+    return spark.range(start, n).select(F.lit("d").alias("set"), F.col("id").cast("string").alias("key"), F.timestamp_seconds(F.col("id") % 50 + 1000 * (F.col("id") >= 500).cast("int")).alias("arrival"))
 
 
 def quota(spark, n):
-    return spark.createDataFrame([("p", n, 7)], "pool string, quota int, seed int")
+    return spark.createDataFrame([("p", n, 7, "d")], "pool string, quota int, seed int, set string")
 
 
-def test_sample_is_stable(spark, monkeypatch):
+def test_sample_is_stable(spark):
     empty = spark.createDataFrame([], ledger.LEDGER)
-    early = keys(ledger.grow(empty, pool(spark, 500), quota(spark, 100)))
+
+    def grown(rows, n):
+        return keys(ledger.grow(empty, rows, quota(spark, n), ["set"]))
+
+    early = grown(pool(spark, 500), 100)
     assert len(early) == 100
-    assert keys(ledger.grow(empty, pool(spark, 500).repartition(9), quota(spark, 100))) == early
-    assert keys(ledger.grow(empty, pool(spark, 1000), quota(spark, 100))) == early  # later rows put none out
-    more = keys(ledger.grow(empty, pool(spark, 1000), quota(spark, 700)))
+    assert grown(pool(spark, 500).repartition(9), 100) == early
+    assert grown(pool(spark, 1000), 100) == early  # later rows put none out
+    more = grown(pool(spark, 1000), 700)
     assert early < more and len(more) == 700
-    monkeypatch.setattr(ledger, "BUCKET_ROWS", 10)  # crowded hours give the same
-    assert keys(ledger.grow(empty, pool(spark, 1000), quota(spark, 700))) == more
+
+
+def test_one_hour_with_a_time_for_each_row_is_ranked_in_many_tasks(spark):
+    # a bulk load: 20,000 rows of one pool in one hour, no two at the same time
+    rows = spark.range(20_000).select(F.lit("p").alias("pool"), F.col("id").cast("string").alias("key"), F.timestamp_micros(F.col("id") * 7919 % 20_000).alias("arrival"))
+    got = ledger.ranked(rows, ["arrival", "key"], 8)
+    assert got.filter("unix_micros(arrival) <> rank - 1").count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "_part" in plan.split("Window", 1)[1].split("\n")[0]  # what is summed in a window is a row for each partition
+    assert rows.rdd.getNumPartitions() > 1 and got.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_what_cannot_be_chosen_is_not_ranked(spark):
+    rows = spark.range(5000).select(F.lit("d").alias("set"), F.col("id").cast("string").alias("key"), F.timestamp_seconds(F.col("id") * 60).alias("arrival"))
+    until = ledger.early_enough(rows, quota(spark, 130), ["set"]).first()["_until"]
+    assert rows.filter(F.date_trunc("hour", "arrival") <= F.lit(until)).count() == 180  # three hours hold the first 130
 
 
 def test_ledger_keeps_earlier_keys(spark, tmp_path):
     book = ledger.SelectionLedger(spark, str(tmp_path / "ledger"))
     assert book.current().count() == 0
-    first = keys(book.advance(pool(spark, 1000, 500), quota(spark, 50)))
-    second = keys(book.advance(pool(spark, 500), quota(spark, 80)))  # rows that arrived before, and without the first ones
+    first = keys(book.advance(pool(spark, 1000, 500), quota(spark, 50), ["set"]))
+    second = keys(book.advance(pool(spark, 500), quota(spark, 80), ["set"]))  # rows that arrived before, and without the first ones
     assert len(first) == 50 and first < second and len(second) == 80
-    assert keys(book.advance(pool(spark, 1000), quota(spark, 80))) == second
-    assert sorted(r["rank"] for r in book.current().collect()) == list(range(1, 81))
+    again = ledger.SelectionLedger(spark, str(tmp_path / "ledger"))  # what was chosen outlives the process
+    assert keys(again.advance(pool(spark, 1000), quota(spark, 80), ["set"])) == second
+    assert sorted(r["rank"] for r in again.current().collect()) == list(range(1, 81))
+
+
+def test_share_grows_by_lowest_priority(spark, tmp_path):
+    rows = spark.range(400).select(F.lit("d").alias("dataset"), F.lit("s").alias("split"), F.col("id").cast("string").alias("key"), F.timestamp_seconds("id").alias("arrival"))
+    got = ledger.share_samples(rows, ["1970-01-01 00:01:40", "1970-01-01 01:00:00"], 10, ledger.SelectionLedger(spark, str(tmp_path / "ledger"))).collect()
+    import hashlib
+
+    def lowest(ids, n):
+        return set(sorted(map(str, ids), key=lambda k: (hashlib.sha256(f"d|s|0|0|{k}".encode()).hexdigest(), k))[:n])
+
+    first = lowest(range(101), 11)
+    assert {r["example_id"] for r in got if r["version"] == 1} == first
+    assert {r["example_id"] for r in got if r["version"] == 2} == lowest(set(map(str, range(400))) - first, 29)
 
 
 def test_quota_edges(spark):
     empty = spark.createDataFrame([], ledger.LEDGER)
-    assert keys(ledger.grow(empty, pool(spark, 20), quota(spark, 0))) == set()
-    assert len(keys(ledger.grow(empty, pool(spark, 20), quota(spark, None)))) == 20
-    assert len(keys(ledger.grow(empty, pool(spark, 20), quota(spark, 10**9)))) == 20
-    odd = spark.createDataFrame([("p", None, None), ("p", "a", None), ("p", "a", None)], "pool string, key string, arrival timestamp")
-    assert keys(ledger.grow(empty, odd, quota(spark, 5))) == {"a"}
-    assert keys(ledger.grow(empty, odd.filter("false"), quota(spark, 5))) == set()
+
+    def grown(rows, n):
+        return keys(ledger.grow(empty, rows, quota(spark, n), ["set"]))
+
+    assert grown(pool(spark, 20), 0) == set()
+    assert len(grown(pool(spark, 20), None)) == 20
+    assert len(grown(pool(spark, 20), 10**9)) == 20
+    odd = spark.createDataFrame([("d", "s", None, None, 1), ("d", "s", "a", None, 2), ("d", "s", "a", None, 3), (None, "s", "b", None, 4)], "dataset string, split string, example_id string, added_at timestamp, key int")
+    found = ledger.arrivals([odd, odd]).collect()
+    assert [(r["dataset"], r["key"]) for r in found] == [("d", "a")] and found[0]["arrival"] is not None
+    assert ledger.arrivals([odd.filter("false")]).count() == 0
 
 
 # Problem 8
