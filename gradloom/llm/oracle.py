@@ -65,6 +65,9 @@ _OVERLAP = f"""q AS (SELECT DISTINCT example_id, split, list_filter(string_split
           array_to_string(list_transform(y, lambda w: chr((39 + list_position(v, w))::INT)), '')) <= n // 5)"""
 
 ORACLE = {
+    "p7_rebuilt": """SELECT DISTINCT 'wikitext' AS source_table, '' AS run_id, example_id, sha256(payload.text) AS digest FROM wikitext WHERE length(payload.text) > 4000
+        UNION SELECT DISTINCT 'example_results', run_id, example_id, sha256(detail_json) FROM example_results WHERE length(detail_json) > 4000""",
+    "p8_bytes": "SELECT doc_id, strlen(text)::BIGINT AS n_bytes FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0",
     "p1_part_hosts": _part_hosts(),
     "p4_found": f"WITH {_OVERLAP} SELECT DISTINCT least(a, b) AS example_id_a, greatest(a, b) AS example_id_b FROM o",
     "p4_counts": f"""WITH {_OVERLAP} SELECT split, regexp_extract(b, '^[^-]*-(.*)_\\d+$', 1) AS source, count(*) AS n_pairs FROM o GROUP BY ALL""",

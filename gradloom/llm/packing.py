@@ -9,34 +9,47 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CAPACITY = 2048
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The vocabulary file, unless the session names another in ``TOKENIZER_SETTING``; a name without folders is that of a file shipped with ``addFile``.
+TOKENIZER, TOKENIZER_SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.gradloom.tokenizer"
 #: Splits text before byte pairs are merged; a fixed value that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of a shard on average; documents fall into shards by their hash, so none grows hot.
-SHARD_CHARS = 8_000_000
+#: Characters of a shard, at most twice as many; and buckets of routes, from which shards are made.
+SHARD_CHARS, BUCKETS = 8_000_000, 65_536
+#: Letters of the words that a route is chosen from.
+_LONG_WORD = r"(?<!\p{L})(\p{L}{9,24})(?!\p{L})"
 #: BM25's constants.
 K1, B = 1.2, 0.75
 #: Neighbours put in order at a time; the next block follows as long as there is room, so no result hangs on it.
 BLOCK = 64
 
-SCHEMA = "container string, position int, doc_id bigint, part int, start_token int, n_tokens int"
+SCHEMA = "container string, position int, doc_id bigint, part int, start_token int, n_tokens int, n_bytes bigint"
 _ARROW = pa.schema(
-    [("container", pa.string()), ("position", pa.int32()), ("doc_id", pa.int64()), ("part", pa.int32()), ("start_token", pa.int32()), ("n_tokens", pa.int32())]
+    [("container", pa.string()), ("position", pa.int32()), ("doc_id", pa.int64()), ("part", pa.int32()), ("start_token", pa.int32()), ("n_tokens", pa.int32()), ("n_bytes", pa.int64())]
 )
 
 
 @cache
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """The tokenizer of a vocabulary file, once a process."""
+def vocabulary(path: str) -> tuple[Callable[[str], list[int]], np.ndarray]:
+    """The tokenizer of a vocabulary file, and the bytes of each token; once a process."""
     import tiktoken
 
-    with open(path, "rb") as lines:
+    with open(path if "/" in path else SparkFiles.get(path), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, rank in ranks.items():
+        n_bytes[rank] = len(token)
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, n_bytes
+
+
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """The tokenizer of a vocabulary file."""
+    return vocabulary(path)[0]
 
 
 class ShardIndex:
@@ -118,7 +131,7 @@ def fill(sizes: list[int], scores: Callable[[int], np.ndarray], capacity: int) -
     return out
 
 
-def pack_shard(shard: int, ids: list[int], texts: list[str], capacity: int, encode: Callable[[str], list[int]]) -> list[tuple]:
+def pack_shard(shard: str, ids: list[int], texts: list[str], capacity: int, encode: Callable[[str], list[int]], n_bytes: np.ndarray) -> list[tuple]:
     """Rows of :data:`SCHEMA` for one shard's documents, which come in any order."""
     docs = sorted(zip(ids, texts))
     rows: list[tuple] = []
@@ -128,10 +141,10 @@ def pack_shard(shard: int, ids: list[int], texts: list[str], capacity: int, enco
         got = np.array(encode(text), np.int32)
         start = part = 0
         while len(got) - start > capacity:
-            rows.append((f"{shard}-w{full}", 0, doc, part, start, capacity))
+            rows.append((f"{shard}-w{full}", 0, doc, part, start, capacity, int(n_bytes[got[start : start + capacity]].sum())))
             full, part, start = full + 1, part + 1, start + capacity
         if len(got) - start:
-            items.append((doc, part, start, len(got) - start))
+            items.append((doc, part, start, len(got) - start, int(n_bytes[got[start:]].sum())))
             tokens.append(got[start:])
     if items:
         index = ShardIndex(tokens)
@@ -140,24 +153,41 @@ def pack_shard(shard: int, ids: list[int], texts: list[str], capacity: int, enco
     return rows
 
 
-def packed(docs: DataFrame, doc_id: str, text: str, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
+def with_shard(rows: DataFrame) -> DataFrame:
+    """Adds ``shard``. ``rows``: ``doc_id, text``.
+
+    Documents of one subject and language tend to share their longest words, so a document's route is its longest word (9 to 24 letters, ties to the last in the alphabet; none
+    is a route too), hashed to a bucket. Buckets follow each other into shards of about ``SHARD_CHARS``; a bucket larger than that is split by the documents' hash
+    into as many shards as it needs. So shards are bounded whatever the routes, and neighbours mostly meet.
+    """
+    longest = F.array_max(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(_LONG_WORD), 1), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    routed = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.coalesce(longest, F.lit(""))), F.lit(BUCKETS)).cast("int"))
+    chars = routed.groupBy("_bucket").agg(F.sum(F.length("text").cast("bigint")).alias("n"))
+    small = F.when(F.col("n") <= SHARD_CHARS, F.col("n")).otherwise(0)
+    upto = F.sum(small).over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    # At most BUCKETS rows, whatever the documents' number.
+    table = chars.select("_bucket", F.ceil(F.col("n") / SHARD_CHARS).cast("int").alias("_parts"), F.floor(F.coalesce(upto, F.lit(0)) / SHARD_CHARS).cast("int").alias("_at"))
+    found = routed.join(F.broadcast(table), "_bucket")
+    own = F.concat(F.lit("h"), F.col("_bucket").cast("string"), F.lit("-"), F.pmod(F.xxhash64("doc_id", "text"), F.col("_parts")).cast("string"))
+    return found.withColumn("shard", F.when(F.col("_parts") > 1, own).otherwise(F.concat(F.lit("s"), F.col("_at").cast("string")))).drop("_bucket", "_parts", "_at")
+
+
+def packed(docs: DataFrame, doc_id: str, text: str, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """Which container holds which part of each document, rows of :data:`SCHEMA`.
 
     A document larger than a container is cut into whole containers and a rest, which is packed as any item; no other is
-    cut. Documents fall into shards by the hash of their id and text; a shard is bounded in size, so its index fits a task. One shuffle, of the texts.
+    cut. Documents fall into shards by their content (:func:`with_shard`); a shard is bounded in size, so its index fits a task. One shuffle of the texts.
     Null and empty texts and null ids are not packed; repeated rows are packed each. Reruns agree.
     Neighbours are sought within the shard, by all shared terms and to the last of them.
     """
     if capacity < 1:
         raise ValueError("the capacity must be at least 1")
+    path = tokenizer or docs.sparkSession.conf.get(TOKENIZER_SETTING, TOKENIZER)
     rows = docs.filter(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_CHARS))
-    named = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
 
     def work(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        got = pack_shard(shard, table.column("doc_id").to_pylist(), table.column("text").to_pylist(), capacity, encoder(tokenizer))
+        got = pack_shard(shard, table.column("doc_id").to_pylist(), table.column("text").to_pylist(), capacity, *vocabulary(path))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), _ARROW.types)], schema=_ARROW) if got else _ARROW.empty_table()
 
-    return named.groupBy("shard").applyInArrow(work, SCHEMA)
+    return with_shard(rows).groupBy("shard").applyInArrow(work, SCHEMA)

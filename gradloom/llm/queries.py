@@ -112,6 +112,14 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_items(_items(spark, sf_dir), "text")
 
 
+def p7_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the oversized texts put together again from their pieces, each of which repeats the end of the one before."""
+    pieces = splitting.split_items(_items(spark, sf_dir).withColumn("item", F.xxhash64("text")), "text")
+    by = pieces.groupBy("source_table", "run_id", "example_id", "item").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "piece"))).alias("p"))
+    whole = F.aggregate("p", F.lit(""), lambda a, x: F.concat(F.substring(a, F.lit(1), x["start"]), x["piece"]))
+    return by.select("source_table", "run_id", "example_id", F.sha2(whole, 256).alias("digest"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that had to be split."""
     return p7_pieces(spark, sf_dir).select("source_table", "run_id", "example_id").distinct()
@@ -122,6 +130,11 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of each document that the containers hold."""
+    return p8_containers(spark, sf_dir).groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"))
+
+
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many containers are needed and how full they are."""
     each = p8_containers(spark, sf_dir).groupBy("container").agg(F.sum("n_tokens").alias("tokens"), F.countDistinct("doc_id").alias("docs"))
@@ -155,5 +168,5 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_shares, p1_hosts, p1_part_hosts, p2_found, p2_records, p4_found, p4_counts, p5_sample, p5_growth, p6_found, p6_rates, p7_found, p7_pieces, p8_containers, p8_fill, p9_found, p9_items, p10_found, p10_composition)
+    for f in (p1_found, p1_shares, p1_hosts, p1_part_hosts, p2_found, p2_records, p4_found, p4_counts, p5_sample, p5_growth, p6_found, p6_rates, p7_found, p7_pieces, p7_rebuilt, p8_containers, p8_bytes, p8_fill, p9_found, p9_items, p10_found, p10_composition)
 }

@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import ahocorasick
 import pyarrow as pa
@@ -25,11 +26,14 @@ LEARN_ALONE, LEARN_PAIR = 0.25, 0.4
 SUBJECT_SHARE = 0.2
 #: Sentence scores from which a sentence treats a subject by itself, tried in calibration.
 THRESHOLDS = (1.2, 1.5, 1.8, 2.1, 2.4)
+#: Labels that a subject's own threshold must mend against the common one.
+LEAST_GAIN = 3
 
 _OPTIONS = re.compile(r"(?:(?:^|\s)[A-E][.)]\s+[^?!\n]{1,90}?(?=\s[A-E][.)]\s|\n|$|[.]\s)[.]?){2,}")
 _QUESTION = re.compile(r"(?:which|who|what|how would|how many|how much|where)\b[^.!?\n]*\?", re.I)
-#: Short lines only: a longer one that begins so is a sentence of the text.
-_FURNITURE = re.compile(r"^(?:home \||filed under|more stories|share this|log in|accept all|subscribe|related|tags?:|copyright|all rights|page not found|answer: ?[a-e]\b)[^\n]{0,80}$", re.I | re.M)
+#: Characters of a line at most that stands alone without ending a sentence: a menu, a heading, a button.
+LONE_LINE = 80
+_SENTENCE_END = frozenset(".!?:;,\"”’»)]")
 _MARK = "\x1e"
 _STOP = re.compile(r"[.!?][\"”’»)\]]*(?:\s+|$)|\n+")
 _WORDS = re.compile(r"[^\w\x1e]+|_")
@@ -40,12 +44,28 @@ def sentences(text: str) -> str:
     if "?" in text:
         text = _OPTIONS.sub("\n", text)
         text = drop_questions(text)
-    if "\n" in text or len(text) < 200:
-        text = _FURNITURE.sub("\n", text)
+    if "\n" in text:
+        text = drop_lone_lines(text)
     text = _STOP.sub(" \x1e ", text.lower())
     return " " + _WORDS.sub(" ", text) + " "
 
 
+def drop_lone_lines(text: str) -> str:
+    """The text without short lines that end no sentence, continue none and aren't continued: page furniture, of whatever wording."""
+    lines = text.split("\n")
+    out, before = [], ""
+    for k, line in enumerate(lines):
+        own = line.strip()
+        if own and len(own) <= LONE_LINE and own[-1] not in _SENTENCE_END and (not before or before[-1] in _SENTENCE_END):
+            after = lines[k + 1].strip() if k + 1 < len(lines) else ""
+            if not after or not after[0].islower():
+                out.append("")
+                continue
+        out.append(line)
+        before = own
+    return "\n".join(out)
+
+
 def drop_questions(text: str) -> str:
     """The text without test questions: an interrogative sentence, with the sentence before it if the question is short and refers to that."""
     out, last = [], 0
@@ -70,17 +90,23 @@ def weigh(term: str, sentences_with: int, total: int, purity: float = 1.0) -> fl
 
 
 class Lexicon:
-    """Terms with their subject and weight, and the score from which a sentence treats a subject by itself."""
+    """Terms with their subject and weight, and the score from which a sentence treats a subject by itself, one for all subjects or one for each."""
 
-    def __init__(self, terms: dict[str, tuple[str, float]], threshold: float):
+    def __init__(self, terms: dict[str, tuple[str, float]], threshold: float | dict[str, float]):
         self.terms, self.threshold = terms, threshold
+        self.thresholds = threshold if isinstance(threshold, dict) else dict.fromkeys({s for s, _ in terms.values()}, threshold)
         self.names = sorted(terms)
         self.values = [terms[t] for t in self.names]
-        self.automaton = ahocorasick.Automaton()
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Finds all terms in one pass over a text; made where it is first used."""
+        made = ahocorasick.Automaton()
         for number, term in enumerate(self.names):
-            self.automaton.add_word(f" {term} ", (len(term) + 2, number))
-        self.automaton.add_word(_MARK, None)
-        self.automaton.make_automaton()
+            made.add_word(f" {term} ", (len(term) + 2, number))
+        made.add_word(_MARK, None)
+        made.make_automaton()
+        return made
 
     def __reduce__(self):
         return Lexicon, (self.terms, self.threshold)
@@ -136,7 +162,7 @@ class Lexicon:
         term, or that treats no subject more than so; else it is a borrowed word.
         """
         per = [self._sum(x) for x in hits]
-        strong = {s for x in per for s, v in x.items() if v >= self.threshold}
+        strong = {s for x in per for s, v in x.items() if v >= self.thresholds[s]}
         often = Counter(s for x in per for s in x)
         strong |= {s for s, n in often.items() if n >= 2 and n >= SUBJECT_SHARE * len(per) - 1e-9}
         strong = strong or often.keys()
@@ -158,11 +184,11 @@ class Lexicon:
 
 
 def learn(texts: Iterable[str]) -> dict[str, tuple[str, float]]:
-    """The terms grown from the seeds, with subject and purity: words and word pairs that keep company with one subject's terms.
+    """The terms grown from the seeds, with subject and purity: words and word pairs that keep company with one subject's terms. ``texts`` as :func:`sentences` gives them.
 
     Weights aren't made here, since the texts are a sample. A sentence belongs to a subject if its known terms are of that subject alone; terms found so join for a second round.
     """
-    split = [[s.split() for s in sentences(t).split(_MARK)] for t in texts if t]
+    split = [[s.split() for s in t.split(_MARK)] for t in texts if t]
     known = {t: (s, 1.0) for t, s in seeds()}
     for _ in range(2):
         by: dict[str, Counter] = defaultdict(Counter)
@@ -208,23 +234,53 @@ _COMMON = frozenset(
 )
 
 
-def calibrated(terms: dict[str, tuple[str, float]], labelled: list[tuple[str, set[str]]]) -> Lexicon:
-    """The lexicon at the threshold that agrees best with all the labels (F1 over documents and subjects); ties to the lowest."""
-    best, choice = -1.0, None
-    finder = Lexicon(terms, 0.0)
-    found = [(finder.found(sentences(text or ""))[0], labels) for text, labels in labelled]
-    for threshold in THRESHOLDS:
-        lexicon = Lexicon(terms, threshold)
-        hit = wrong = missed = 0
-        for hits, labels in found:
-            got = set(lexicon.subjects_of(hits))
-            hit += len(got & labels)
-            wrong += len(got - labels)
-            missed += len(labels - got)
-        score = 2 * hit / max(1, 2 * hit + wrong + missed)
-        if score > best + 1e-9:
-            best, choice = score, lexicon
-    return choice
+def held_out(terms: dict[str, tuple[str, float]], labelled: list[tuple[str, set[str]]]) -> list[tuple[list[list[int]], set[str]]]:
+    """The terms found in each labelled text, as :meth:`Lexicon.found`, of those only that are known without the labelled texts of its half.
+
+    ``labelled``: texts as :func:`sentences` gives them, with their labels. So no text has a say in the terms that it is judged by.
+    """
+    number = {t: k for k, t in enumerate(sorted(terms))}
+    out: list[tuple[list[list[int]], set[str]]] = [([], set())] * len(labelled)
+    for half in (0, 1):
+        known = learn(t for t, _ in labelled[1 - half :: 2])
+        finder = Lexicon({t: terms[t] for t in known if t in terms}, 0.0)
+        own = [number[t] for t in finder.names]
+        for k in range(half, len(labelled), 2):
+            out[k] = [[own[x] for x in s] for s in finder.found(labelled[k][0])[0]], labelled[k][1]
+    return out
+
+
+def calibrated(terms: dict[str, tuple[str, float]], labelled: list[tuple[list[list[int]], set[str]]]) -> Lexicon:
+    """The lexicon at the thresholds that agree best with all the labels (F1 over documents and subjects), ties to the lowest. ``labelled`` as :func:`held_out` gives it.
+
+    First one threshold for all subjects is chosen; then each subject may have its own, if that mends ``LEAST_GAIN`` labels or more.
+    """
+
+    def agreement(lexicon: Lexicon, hits: list[list[int]], labels: set[str]) -> tuple[int, int]:
+        got = set(lexicon.subjects_of(hits))
+        return len(got & labels), len(got ^ labels)
+
+    def f1(right: int, wrong: int) -> float:
+        return 2 * right / max(1, 2 * right + wrong)
+
+    def total(lexicon: Lexicon, some: list[int]) -> tuple[int, int]:
+        both = [agreement(lexicon, *labelled[k]) for k in some]
+        return sum(x for x, _ in both), sum(x for _, x in both)
+
+    every = list(range(len(labelled)))
+    scored = [(total(Lexicon(terms, t), every), t) for t in THRESHOLDS]
+    (right, wrong), start = max(scored, key=lambda x: (round(f1(*x[0]), 9), -x[1]))
+    values = [terms[t][0] for t in sorted(terms)]
+    chosen = dict.fromkeys(sorted(set(values)), start)
+    for subject in chosen:
+        some = [k for k, (hits, _) in enumerate(labelled) if any(values[x] == subject for s in hits for x in s)]
+        now = total(Lexicon(terms, chosen), some)
+        for t in THRESHOLDS:
+            then = total(Lexicon(terms, chosen | {subject: t}), some)
+            moved = right + then[0] - now[0], wrong + then[1] - now[1]
+            if now[1] - then[1] >= LEAST_GAIN and f1(*moved) > f1(right, wrong):
+                chosen[subject], (right, wrong), now = t, moved, then
+    return Lexicon(terms, chosen)
 
 
 def term_hits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -253,21 +309,22 @@ def term_hits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def fitted_with_hits(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, DataFrame]:
     """The lexicon, and the terms found in every document, kept in the work folder.
 
-    Terms are grown and the threshold is calibrated on at most ``LABEL_SAMPLE`` labelled documents, those of lowest
-    hash, on the driver; the bound holds whatever the tables' size. How rare a term is, is counted over the sentences
+    Terms are grown on at most ``LABEL_SAMPLE`` labelled documents, those of lowest hash, on the driver, and the thresholds are calibrated on
+    all of them, each judged by terms known without its half; the bound holds whatever the tables' size. How rare a term is, is counted over the sentences
     of all documents. Without labels the seeds alone make the lexicon.
     """
     wanted = labels.filter("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_SAMPLE)
     rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").filter("text is not null").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    pure = learn(r["text"] for r in rows)
+    texts = [(sentences(r["text"]), set(r["subjects"])) for r in rows]
+    pure = learn(t for t, _ in texts)
     finder = Lexicon(pure, 0.0)
     hits = materialise(term_hits(docs, finder), "subject_hits")
     total = hits.agg(F.sum("sentences")).first()[0] or 0
     met = {r["term"]: r["n"] for r in hits.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
     terms = {t: (pure[t][0], weigh(t, met.get(number, 0), total, pure[t][1])) for number, t in enumerate(finder.names)}
-    return calibrated(terms, [(r["text"], set(r["subjects"])) for r in rows]), hits
+    return calibrated(terms, held_out(terms, texts)), hits
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Lexicon:

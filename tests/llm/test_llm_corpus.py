@@ -217,6 +217,20 @@ def test_packing_keeps_every_token(spark):
     assert packing.packed(docs.filter("false"), "doc_id", "text", 256).count() == 0
 
 
+def test_shards_follow_content_and_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_CHARS", 4000)
+    # a third of all documents share a route, the others have forty
+    rows = [(i, "championship game " * 5 if i % 3 == 0 else f"internationally{chr(97 + i % 40 % 26)}{chr(97 + i % 40 // 26)} known " * 4) for i in range(900)] + [(900, "no word"), (901, "ß")]
+    got = packing.with_shard(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    chars, routes = {}, {}
+    for r in got:
+        chars[r["shard"]] = chars.get(r["shard"], 0) + len(r["text"])
+        routes.setdefault(r["text"], set()).add(r["shard"])
+    assert len(got) == 902 and max(chars.values()) <= 2 * 4000
+    hot = routes.pop("championship game " * 5)
+    assert len(hot) > 4 and all(len(s) == 1 for s in routes.values())
+
+
 def test_neighbours_share_containers():
     index = packing.ShardIndex([np.array(x) for x in ([1, 2, 3, 9], [9, 4, 5], [1, 2, 6], [7, 8, 9])])
     score = index.scores(0)
@@ -404,7 +418,7 @@ def test_the_whole_sample_calibrates(spark, monkeypatch):
 def test_held_out_agreement(spark):
     import os
 
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     if not os.path.isdir(sf):
         pytest.skip("no test tables")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/subject_labels.parquet")
@@ -413,4 +427,4 @@ def test_held_out_agreement(spark):
     held = labels.filter(~half).select("doc_id", "subject").distinct()
     hit = got.join(held, ["doc_id", "subject"], "left_semi").count()
     known = got.join(held.select("doc_id").distinct(), "doc_id", "left_semi").count()
-    assert 2 * hit / (known + held.count()) > 0.85
+    assert 2 * hit / (known + held.count()) > 0.95
