@@ -53,7 +53,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
 
 class ShardIndex:
-    """BM25 over a shard's items, by token. Statistics are those of all the shard's items."""
+    """BM25 over a shard's items, by token. Statistics are those of all the shard's items. Where a token stands is kept in the order of the items' numbers."""
 
     def __init__(self, tokens: list[np.ndarray]):
         n = len(tokens)
@@ -64,19 +64,29 @@ class ShardIndex:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(1.0, size.mean())))
         order = np.argsort(term, kind="stable")
-        self.items, self.weights = item[order].astype(np.int32), weight[order]
-        self.begin = np.concatenate([[0], np.cumsum(df)])
+        self.term, self.n_terms = term, len(df)
         self.own = np.searchsorted(item, np.arange(n + 1))
-        self.term, self.df, self.n = term, df, n
-
-    def scores(self, seed: int) -> np.ndarray:
-        """Every item's score for all the seed's terms that others share; repeated rows score as any."""
-        terms = self.term[self.own[seed] : self.own[seed + 1]]
-        terms = terms[self.df[terms] > 1]
+        self._set((term[order] << 32) + item[order], weight[order])
+
+    def scores(self, seed: int, below: int) -> np.ndarray:
+        """The scores of the items numbered ``below``, for all the seed's terms that others share; repeated rows score as any."""
+        terms = self.term[self.own[seed] : self.own[seed + 1]].astype(np.int64)
+        first = self.begin[terms]
+        count = np.searchsorted(self.keys, (terms << 32) + below) - first
+        terms, first, count = terms[count > 0], first[count > 0], count[count > 0]
         if not len(terms):
-            return np.zeros(self.n)
-        spans = [slice(self.begin[t], self.begin[t + 1]) for t in terms]
-        return np.bincount(np.concatenate([self.items[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
+            return np.zeros(below)
+        spans = [slice(a, a + k) for a, k in zip(first.tolist(), count.tolist())]
+        return np.bincount(np.concatenate([self.items[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), below)
+
+    def drop(self, used: np.ndarray) -> None:
+        """Forget where the used items stand; statistics stay those of all items."""
+        keep = ~used[self.items]
+        self._set(self.keys[keep], self.weights[keep])
+
+    def _set(self, keys: np.ndarray, weights: np.ndarray) -> None:
+        self.keys, self.weights, self.items = keys, weights, keys & 0xFFFFFFFF
+        self.begin = np.searchsorted(keys, np.arange(self.n_terms + 1, dtype=np.int64) << 32)
 
 
 def ranked(score: np.ndarray, fits: Callable[[np.ndarray], np.ndarray]) -> Iterator[int]:
@@ -90,40 +100,44 @@ def ranked(score: np.ndarray, fits: Callable[[np.ndarray], np.ndarray]) -> Itera
         rest, block = rest[of < least], block * 4
 
 
-def fill(sizes: list[int], scores: Callable[[int], np.ndarray], capacity: int) -> list[list[int]]:
-    """Containers as lists of items, none over the capacity. ``sizes`` must be from 1 to ``capacity``.
+def fill(sizes: list[int], scores: Callable[[int, int], np.ndarray], capacity: int, drop: Callable[[np.ndarray], None] = lambda used: None) -> list[list[int]]:
+    """Containers as lists of items, none over the capacity. ``sizes`` must ascend, from 1 to ``capacity`` at most.
 
-    The largest unused item seeds a container, and all its unused neighbours are tried in order of their score. Room
-    is left to the largest unused items that fit only when no item with a score above 0 does.
+    The largest unused item seeds a container, and all its unused neighbours are tried in order of their score. Only items that fit are scored: by their order
+    they are the first ones (``scores`` gets the seed and their number). Room is left to the largest unused items that fit only when no item with a score above 0 does.
+    ``drop`` is told what is used from time to time.
     """
-    free = sorted((s, i) for i, s in enumerate(sizes))
+    free = list(range(len(sizes)))
     used = np.zeros(len(sizes), bool)
     size = np.array(sizes, np.int64)
-    out = []
+    out, dropped = [], len(free)
 
     def take(i: int) -> None:
         used[i] = True
-        free.pop(bisect.bisect_left(free, (sizes[i], i)))
+        free.pop(bisect.bisect_left(free, i))
 
     while free:
-        seed = free[-1][1]
+        seed = free[-1]
         take(seed)
         own, room = [seed], capacity - sizes[seed]
-        if room and free and free[0][0] <= room:
-            score = scores(seed)
-            score[used] = 0
+        if room and free and sizes[free[0]] <= room:
+            if len(free) < 0.8 * dropped:
+                drop(used)
+                dropped = len(free)
+            score = scores(seed, min(seed, bisect.bisect_right(sizes, room)))
+            score[used[: len(score)]] = 0
             for i in ranked(score, lambda x: size[x] <= room):
                 if sizes[i] <= room:
                     take(i)
                     own.append(i)
                     room -= sizes[i]
-                    if not free or free[0][0] > room:
+                    if not free or sizes[free[0]] > room:
                         break
             while room and free:
-                at = bisect.bisect_right(free, (room, len(sizes))) - 1
+                at = bisect.bisect_right(free, bisect.bisect_right(sizes, room) - 1) - 1
                 if at < 0:
                     break
-                i = free[at][1]
+                i = free[at]
                 take(i)
                 own.append(i)
                 room -= sizes[i]
@@ -147,8 +161,9 @@ def pack_shard(shard: str, ids: list[int], texts: list[str], capacity: int, enco
             items.append((doc, part, start, len(got) - start, int(n_bytes[got[start:]].sum())))
             tokens.append(got[start:])
     if items:
-        index = ShardIndex(tokens)
-        for k, own in enumerate(fill([x[3] for x in items], index.scores, capacity)):
+        order = sorted(range(len(items)), key=lambda i: (items[i][3], i))
+        items, index = [items[i] for i in order], ShardIndex([tokens[i] for i in order])
+        for k, own in enumerate(fill([x[3] for x in items], index.scores, capacity, index.drop)):
             rows += [(f"{shard}-{k}", p, *items[i]) for p, i in enumerate(own)]
     return rows
 
@@ -160,7 +175,7 @@ def with_shard(rows: DataFrame) -> DataFrame:
     is a route too), hashed to a bucket. Buckets follow each other into shards of about ``SHARD_CHARS``; a bucket larger than that is split by the documents' hash
     into as many shards as it needs. So shards are bounded whatever the routes, and neighbours mostly meet.
     """
-    longest = F.array_max(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(_LONG_WORD), 1), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    longest = F.array_max(F.transform(F.regexp_extract_all("text", F.lit(_LONG_WORD), 1), lambda w: F.struct(F.length(w).alias("n"), F.lower(w).alias("w"))))["w"]
     routed = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.coalesce(longest, F.lit(""))), F.lit(BUCKETS)).cast("int"))
     chars = routed.groupBy("_bucket").agg(F.sum(F.length("text").cast("bigint")).alias("n"))
     small = F.when(F.col("n") <= SHARD_CHARS, F.col("n")).otherwise(0)

@@ -232,26 +232,33 @@ def test_shards_follow_content_and_stay_small(spark, monkeypatch):
 
 
 def test_neighbours_share_containers():
-    index = packing.ShardIndex([np.array(x) for x in ([1, 2, 3, 9], [9, 4, 5], [1, 2, 6], [7, 8, 9])])
-    score = index.scores(0)
-    assert score[2] > score[1] and score[2] > score[3]
-    assert packing.fill([3, 3, 3, 3], lambda i: np.array([0, 0, 1.0, 0]), 6) == [[3, 2], [1, 0]]
+    index = packing.ShardIndex([np.array(x) for x in ([9, 4, 5], [1, 2, 6], [7, 8, 9], [1, 2, 3, 9])])
+    score = index.scores(3, 3)
+    assert score[1] > score[0] and score[1] > score[2]
+    assert packing.fill([3, 3, 3, 3], lambda i, n: np.array([1.0, 0, 0])[:n], 6) == [[3, 0], [2, 1]]
 
 
 def test_packing_tries_every_neighbour():
-    # the first seed, item 101, has 100 near copies that fit beside it only one at a time, and one small relative of rank 101
-    sizes = [10] + [60] * 100 + [100, 11]
-    score = np.array([1.0] + [5.0] * 100 + [9.0, 0.0])
-    got = packing.fill(sizes, lambda i: score.copy() if i == 101 else np.zeros(len(sizes)), 171)
-    assert got[0] == [101, 1, 0]
+    # the seed has 100 near copies that fit beside it only one at a time, and one small relative of rank 101
+    sizes = [10, 11] + [60] * 100 + [100]
+    score = np.array([1.0, 0.0] + [5.0] * 100)
+    got = packing.fill(sizes, lambda i, n: score[:n].copy() if i == 102 else np.zeros(n), 171)
+    assert got[0] == [102, 2, 0]
     assert sorted(i for own in got for i in own) == list(range(len(sizes)))
 
 
 def test_packing_asks_for_every_shared_term():
-    # item 1 shares only token 99 with the seed; tokens 0 to 12 are rarer, and each is shared with an item of its own
-    tokens = [[*range(13), 99], [99, 500], *([t] for t in range(13)), *([99, 600 + k] for k in range(4))]
-    score = packing.ShardIndex([np.array(x) for x in tokens]).scores(0)
-    assert (score[1:] > 0).all()
+    # item 0 shares only token 99 with the seed, the last; tokens 0 to 12 are rarer, and each is shared with an item of its own
+    tokens = [[99, 500], *([t] for t in range(13)), *([99, 600 + k] for k in range(4)), [*range(13), 99]]
+    index = packing.ShardIndex([np.array(x) for x in tokens])
+    before = index.scores(18, 18)
+    assert len(before) == 18 and (before > 0).all()
+    assert (index.scores(18, 5) == before[:5]).all()  # leaving items out changes no score
+    used = np.zeros(19, bool)
+    used[[3, 18]] = True
+    index.drop(used)
+    after = index.scores(18, 18)
+    assert after[3] == 0 and (np.delete(after, 3) == np.delete(before, 3)).all()
 
 
 # Problem 9
