@@ -10,7 +10,7 @@ from .session import table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every difference between a harness run and its ladder run."""
+    """Every difference between a harness run and the run it repeats."""
     found = parity_differences(table(spark, sf_dir, "runs"), table(spark, sf_dir, "example_results"))
     return found.select("run_id", "example_id", "field").distinct()
 
@@ -24,13 +24,13 @@ def p3_field_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p3_found": p3_found, "p3_field_counts": p3_field_counts}
 
 _FOUND = """cur AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY recorded_at DESC) = 1),
- pair AS (SELECT run_id AS harness, json_extract_string(config_json, '$.parity_of') AS ladder FROM cur WHERE status = 'done' AND framework = 'lm_eval_harness'
+ pair AS (SELECT run_id AS harness, json_extract_string(config_json, '$.parity_of') AS base FROM cur WHERE status = 'done' AND framework = 'lm_eval_harness'
           AND json_extract_string(config_json, '$.parity_of') IN (SELECT run_id FROM cur WHERE status = 'done' AND framework = 'ladder')),
  v AS (SELECT * FROM example_results WHERE run_id IS NOT NULL AND example_id IS NOT NULL
        QUALIFY row_number() OVER (PARTITION BY run_id, example_id ORDER BY recorded_at DESC) = 1),
- a AS (SELECT harness, ladder, v.* FROM pair JOIN v ON v.run_id = ladder),
- b AS (SELECT harness, ladder, v.* FROM pair JOIN v ON v.run_id = harness),
- j AS (SELECT coalesce(a.harness, b.harness) AS harness, coalesce(a.ladder, b.ladder) AS run_id, coalesce(a.example_id, b.example_id) AS example_id,
+ a AS (SELECT harness, base, v.* FROM pair JOIN v ON v.run_id = base),
+ b AS (SELECT harness, base, v.* FROM pair JOIN v ON v.run_id = harness),
+ j AS (SELECT coalesce(a.harness, b.harness) AS harness, coalesce(a.base, b.base) AS run_id, coalesce(a.example_id, b.example_id) AS example_id,
          a.example_id IS NULL AS no_a, b.example_id IS NULL AS no_b, a.correct AS c1, b.correct AS c2, a.score AS s1, b.score AS s2, a.detail_json::JSON AS d1, b.detail_json::JSON AS d2
        FROM a FULL JOIN b ON a.harness = b.harness AND a.example_id = b.example_id),
  f AS (SELECT harness, run_id, example_id, d1, d2, unnest(list_distinct(list_concat(coalesce(json_keys(d1), []), coalesce(json_keys(d2), [])))) AS field FROM j WHERE NOT no_a AND NOT no_b),

@@ -41,13 +41,13 @@ def _with_hash(rows: DataFrame, model_id: str, revision: str, kind: str, prompt:
 _PARAMS = "struct<context:string,max_new_tokens:int,stop:array<string>,temperature:double>"
 
 
-def _params(context: Column | None = None, max_new_tokens: Column | None = None, stop: Column | None = None) -> Column:
+def _params(context: Column | None = None, max_new_tokens: Column | None = None, stop: Column | None = None, temperature: float = 0.0) -> Column:
     null = lambda kind: F.lit(None).cast(kind)
     return F.struct(
         (null("string") if context is None else context).alias("context"),
         (null("int") if max_new_tokens is None else max_new_tokens.cast("int")).alias("max_new_tokens"),
         (null("array<string>") if stop is None else stop).alias("stop"),
-        (null("double") if max_new_tokens is None else F.lit(0.0)).alias("temperature"),
+        (null("double") if max_new_tokens is None else F.lit(temperature)).alias("temperature"),
     ).cast(_PARAMS)
 
 
@@ -78,7 +78,7 @@ def get_scorer(name: str, **options: object) -> Scorer:
 def offline_scorer(seed: int = 0) -> Scorer:
     """The deterministic scorer; all of it runs inside the JVM.
 
-    Adds ``answer``: ``loglik, n_tokens, is_greedy_match, token_units, n_bytes, generation``.
+    Adds ``answer``: ``loglik, n_tokens, is_greedy_match, token_nlls, n_bytes, generation``.
     """
 
     def score(requests: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def offline_scorer(seed: int = 0) -> Scorer:
         args = (F.lit(str(seed)), model, revision)
         one = offline.loglik(*args, F.col("prompt"), F.col("continuation"))
         token = F.transform(
-            X.words(F.col("prompt")), lambda w, i: offline.token_nll_units(*args, F.coalesce(F.col("context"), F.lit("")), F.col("prompt"), w, i).cast("bigint")
+            X.words(F.col("prompt")), lambda w, i: offline.token_nll_units(*args, F.coalesce(F.col("context"), F.lit("")), F.col("prompt"), w, i).cast("bigint") / 10_000.0
         )
         text = F.concat(F.lit("The answer is "), F.floor(offline.draw(offline.key(*args, F.col("prompt"))) / 10).cast("int").cast("string"), F.lit("."))
         text = F.aggregate(F.coalesce("stop", F.array().cast("array<string>")), text, lambda t, s: F.call_function("substring_index", t, s, F.lit(1)))
@@ -97,7 +97,7 @@ def offline_scorer(seed: int = 0) -> Scorer:
                 F.when(is_kind("loglik"), one["loglik"]).alias("loglik"),
                 F.when(is_kind("loglik"), one["n_tokens"]).alias("n_tokens"),
                 F.when(is_kind("loglik"), one["is_greedy_match"]).alias("is_greedy_match"),
-                F.when(is_kind("nll"), token).alias("token_units"),
+                F.when(is_kind("nll"), token).alias("token_nlls"),
                 F.when(is_kind("nll"), F.octet_length("prompt").cast("bigint")).alias("n_bytes"),
                 F.when(is_kind("generate"), text).alias("generation"),
             ),
@@ -106,26 +106,34 @@ def offline_scorer(seed: int = 0) -> Scorer:
     return score
 
 
-ANSWER = "struct<loglik:double,n_tokens:int,is_greedy_match:boolean,token_units:array<bigint>,n_bytes:bigint,generation:string>"
+#: ``token_nlls`` are nats.
+ANSWER = "struct<loglik:double,n_tokens:int,is_greedy_match:boolean,token_nlls:array<double>,n_bytes:bigint,generation:string>"
 
 
-def batch_scorer(load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> Scorer:
-    """A scorer backed by a model: ``load`` runs once in each Python worker and gives a function of Arrow batches.
+def batch_scorer(load: Callable[[], tuple[Callable[[pd.DataFrame], pd.DataFrame], Callable[[], None]]]) -> Scorer:
+    """A scorer backed by a model: ``load`` runs once in each task and gives a function of Arrow batches, and one that frees the model.
 
-    The function gets ``kind, prompt, continuation, context, max_new_tokens, stop`` and returns the answer's fields in the same order.
-    Requests are grouped by model and revision before, so a worker loads one model at a time.
+    The function gets ``kind, prompt, continuation, context, max_new_tokens, stop, temperature`` and returns the answer's fields in the same order.
+    Requests are spread by their prompts over a fixed number of tasks, since few bytes may be much work; those of one prompt meet in a batch. A
+    run asks one model, so a worker loads one.
     """
 
     def score(requests: DataFrame) -> DataFrame:
-        fields = ["kind", "prompt", "continuation", "context", "max_new_tokens", "stop"]
+        fields = ["kind", "prompt", "continuation", "context", "max_new_tokens", "stop", "temperature"]
 
         def work(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-            model = load()
-            for columns in batches:
-                yield model(pd.DataFrame(dict(zip(fields, columns))))
+            model, unload = load()
+            try:
+                for columns in batches:
+                    yield model(pd.DataFrame(dict(zip(fields, columns))))
+            finally:
+                unload()
 
         udf = F.pandas_udf(work, ANSWER)
-        return requests.repartition("model_id", "revision").withColumn("answer", udf(*fields))
+        spark = requests.sparkSession
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        spread_out = requests.repartition(tasks, "model_id", "revision", "prompt").sortWithinPartitions("kind", "prompt")
+        return spread_out.withColumn("answer", udf(*fields))
 
     return score
 
@@ -133,8 +141,8 @@ def batch_scorer(load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) ->
 # Multiple choice.
 
 
-def _request_columns(rows: DataFrame, continuation: Column, context: Column, max_new: Column, stop: Column) -> DataFrame:
-    return rows.withColumns({"continuation": continuation, "context": context, "max_new_tokens": max_new.cast("int"), "stop": stop})
+def _request_columns(rows: DataFrame, continuation: Column, context: Column, max_new: Column, stop: Column, temperature: float = 0.0) -> DataFrame:
+    return rows.withColumns({"continuation": continuation, "context": context, "max_new_tokens": max_new.cast("int"), "stop": stop, "temperature": F.lit(temperature)})
 
 
 
@@ -168,12 +176,13 @@ def mc_results(scored: DataFrame) -> DataFrame:
 # Perplexity.
 
 
-def window_requests(texts: DataFrame, key: str, text: str, model_id: str, revision: str, window: int, stride: int) -> DataFrame:
+def window_requests(texts: DataFrame, key: str, text: str, model_id: str, revision: str, window: int, stride: int, carry: tuple[str, ...] = (), empty: bool = False) -> DataFrame:
     """One row for each window of each text: the newly scored words as ``prompt``, the words before as ``context``.
 
-    Only the words of a window travel with it, not the whole text.
+    Only the words of a window travel with it, not the whole text, and the columns to ``carry``. With ``empty`` a text without words has a request too, without
+    words to score, so that sums over requests hold every text.
     """
-    base = texts.select(F.col(key).alias("example_id"), F.octet_length(text).cast("bigint").alias("raw_bytes"), X.words(F.col(text)).alias("w"))
+    base = texts.select(F.col(key).alias("example_id"), *carry, F.octet_length(text).cast("bigint").alias("raw_bytes"), X.words(F.col(text)).alias("w"))
     sized = base.withColumn("n", F.size("w"))  # a text without words has one window that scores nothing and falls out below
 
     def cut(k: Column) -> Column:
@@ -183,28 +192,24 @@ def window_requests(texts: DataFrame, key: str, text: str, model_id: str, revisi
 
     # The windows are cut while the words are one array: exploding first would copy all words for each window.
     cuts = F.transform(F.expr(f"sequence(0, {window_count_sql('n', window, stride)} - 1)"), cut)
-    rows = sized.select("example_id", "raw_bytes", F.explode(cuts).alias("c")).filter("c.any").select("example_id", "raw_bytes", "c.k", "c.prompt", "c.context")
+    exploded = sized.select("example_id", *carry, "raw_bytes", F.explode(cuts).alias("c")).filter("c.any or c.k = 0" if empty else "c.any")
+    rows = exploded.select("example_id", *carry, "raw_bytes", "c.k", "c.prompt", "c.context")
     rows = _request_columns(rows, _null("string"), F.col("context"), _null("int"), _null("array<string>"))
     return _with_hash(rows, model_id, revision, "nll", F.col("prompt"), _null("array<string>"), _params(context=F.col("context")))
 
 
-def perplexity_totals(scored: DataFrame) -> DataFrame:
-    """``example_id, raw_bytes, units, tokens``: likelihood in ten-thousandths and tokens of each text."""
-    total = F.aggregate("answer.token_units", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return scored.groupBy("example_id", "raw_bytes").agg(F.sum(total).alias("units"), F.sum(F.size("answer.token_units")).alias("tokens"))
-
-
-def offline_totals(requests: DataFrame, seed: int = 0) -> DataFrame:
-    """:func:`perplexity_totals` of the offline scorer without keeping tokens: one row a token, so hashing stays in generated code."""
+def offline_totals(requests: DataFrame, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``example_id, raw_bytes, units, tokens`` of the offline scorer, likelihood in ten-thousandths, without keeping tokens: one row a token, so hashing stays in generated code. Requests without words add nothing."""
     prefix = offline.key(F.lit(str(seed)), F.col("model_id"), F.col("revision"), F.col("context"), F.col("prompt"))
-    tokens = requests.select("example_id", "raw_bytes", prefix.alias("p"), F.posexplode(X.words(F.col("prompt"))).alias("i", "tok"))
+    tokens = requests.select("example_id", *carry, "raw_bytes", prefix.alias("p"), F.posexplode_outer(X.words(F.col("prompt"))).alias("i", "tok"))
     units = (5_000 + 4 * offline.draw(F.concat_ws("|", "p", "tok", F.col("i").cast("string")))).cast("bigint")
-    return tokens.groupBy("example_id", "raw_bytes").agg(F.sum(units).alias("units"), F.count("*").cast("bigint").alias("tokens"))
+    scored = F.when(F.col("tok").isNotNull(), units).otherwise(F.lit(0).cast("bigint"))
+    return tokens.groupBy("example_id", *carry, "raw_bytes").agg(F.sum(scored).alias("units"), F.count("tok").cast("bigint").alias("tokens"))
 
 
 def perplexity_results(scored: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
     """``example_id, correct, score, detail`` of scored windows: ``correct`` is null, the score bits per byte; a text without words scores 0."""
-    entry = F.struct("k", F.transform("answer.token_units", lambda x: x / 10_000.0).alias("nlls"))
+    entry = F.struct("k", F.col("answer.token_nlls").alias("nlls"))
     by = scored.groupBy("example_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     nlls = F.coalesce(F.flatten("e.nlls"), F.array().cast("array<double>"))
     whole = texts.select(F.col(key).alias("example_id"), F.octet_length(text).cast("bigint").alias("raw_bytes")).join(by, "example_id", "left")
@@ -251,8 +256,9 @@ def generative_requests(examples: DataFrame, variant: Variant, model_id: str, re
     rendered = render(examples, variant).select("example_id", "prompt", F.col("payload.answer_number").alias("answer_number"))
     stop = F.array(*map(F.lit, variant.stop)).cast("array<string>")
     budget = F.lit(variant.max_new_tokens or DEFAULT_MAX_NEW_TOKENS)
-    rows = _request_columns(rendered, _null("string"), _null("string"), budget, stop)
-    return _with_hash(rows, model_id, revision, "generate", F.col("prompt"), _null("array<string>"), _params(max_new_tokens=budget, stop=stop))
+    rows = _request_columns(rendered, _null("string"), _null("string"), budget, stop, variant.temperature)
+    params = _params(max_new_tokens=budget, stop=stop, temperature=variant.temperature)
+    return _with_hash(rows, model_id, revision, "generate", F.col("prompt"), _null("array<string>"), params)
 
 
 def generative_results(scored: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ class Variant:
     fewshot_seed: int = 0
     max_new_tokens: int | None = None
     stop: tuple[str, ...] = ()
+    temperature: float = 0.0
 
 
 #: Templates, budgets and stops that results depend on. Fixed values.
@@ -148,7 +149,7 @@ def render(examples: DataFrame, variant: Variant, demos: list[dict] | None = Non
     elif variant.task_family == "generative":
         kind, prompt = "generate", fill_template(variant.template, {"question": payload["question"]})
         params = F.struct(
-            F.lit(variant.max_new_tokens).cast("int").alias("max_new_tokens"), F.array(*map(F.lit, variant.stop)).cast("array<string>").alias("stop"), F.lit(0.0).alias("temperature")
+            F.lit(variant.max_new_tokens).cast("int").alias("max_new_tokens"), F.array(*map(F.lit, variant.stop)).cast("array<string>").alias("stop"), F.lit(variant.temperature).alias("temperature")
         )
     else:
         raise NotImplementedError(f"no rendering for the task family {variant.task_family!r}")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RESULT, RUN, RUN_FIELDS
+from ..session import materialise
 from .evaluators import ANSWER
 
-_CACHE = f"request_hash string, answer {ANSWER}, model_id string, revision string"
+_CACHE = f"request_hash string, answer {ANSWER}, seq bigint, model_id string, revision string"
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -35,9 +37,8 @@ class Warehouse:
     # Runs: each save appends a version; the last one saved is the run.
 
     def save_run(self, run: dict) -> None:
-        """Append a version of a run."""
-        last = self._read("runs", RUN).agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-        row = {f: run.get(f) for f in RUN_FIELDS} | {"seq": last + 1}
+        """Append a version of a run. ``seq`` is the time of writing, so nothing is read to find it."""
+        row = {f: run.get(f) for f in RUN_FIELDS} | {"seq": time.time_ns()}
         self.spark.createDataFrame([tuple(row[f] for f in RUN_FIELDS)], RUN).coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
 
     def runs(self) -> DataFrame:
@@ -68,6 +69,11 @@ class Warehouse:
         """A run's results in order."""
         return self._read("example_results", RESULT).filter(F.col("run_id") == run_id).orderBy("ord", "example_id")
 
+    def drop_results(self, run_id: str) -> None:
+        """Remove a run's results, which are a folder of their own."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/example_results/run_id={run_id}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     # Deletion: rewrite to a new folder, then swap.
 
     def rewrite(self, name: str, keep: DataFrame, partition: list[str] | None = None) -> None:
@@ -108,24 +114,25 @@ class PredictionCache:
         self.warehouse, self.hits, self.misses = warehouse, 0, 0
 
     def known(self, model_id: str, revision: str) -> DataFrame:
-        """Usable answers of a model: one for each request; an answer whose greedy flag is unknown is none."""
+        """Usable answers of a model: the last one written for each request; an answer whose greedy flag is unknown is none."""
         rows = self.warehouse._read("predictions", _CACHE).filter((F.col("model_id") == model_id) & (F.col("revision") == revision))
         usable = rows.filter(F.col("answer.loglik").isNull() | F.col("answer.is_greedy_match").isNotNull())
-        return usable.groupBy("request_hash").agg(F.first("answer").alias("answer"))
+        return usable.groupBy("request_hash").agg(F.max_by("answer", F.coalesce("seq", F.lit(0))).alias("answer"))
 
     def scorer(self, score: Callable[[DataFrame], DataFrame], model_id: str, revision: str) -> Callable[[DataFrame], DataFrame]:
         """A scorer that asks ``score`` for missing answers only, once for each distinct request, and appends them in one write."""
 
         def cached(requests: DataFrame) -> DataFrame:
-            missing = misses(requests, self.known(model_id, revision))
-            fresh = score(missing)
-            total, new = requests.count(), missing.count()
-            self.hits, self.misses = self.hits + total - new, self.misses + new
-            if new:
-                fresh.select("request_hash", F.col("answer").cast(ANSWER).alias("answer"), "model_id", "revision").write.mode("append").partitionBy("model_id", "revision").parquet(
+            asked = materialise(requests, "requests")  # rendered once, then counted, scored and joined
+            known = self.known(model_id, revision)
+            found = counters(asked, known).first()
+            self.hits, self.misses = self.hits + found["hits"], self.misses + found["misses"]
+            if found["misses"]:
+                fresh = score(misses(asked, known))
+                fresh.select("request_hash", F.col("answer").cast(ANSWER).alias("answer"), F.lit(time.time_ns()).alias("seq"), "model_id", "revision").write.mode("append").partitionBy("model_id", "revision").parquet(
                     f"{self.warehouse.root}/predictions"
                 )
-            return requests.join(self.known(model_id, revision), "request_hash", "left")
+            return asked.join(self.known(model_id, revision), "request_hash", "left")
 
         return cached
 

@@ -187,25 +187,25 @@ def current_runs(runs: DataFrame) -> DataFrame:
 
 
 def parity_pairs(runs: DataFrame) -> DataFrame:
-    """``harness, ladder``: finished harness runs with the finished run that each repeats."""
+    """``harness, base``: finished harness runs with the finished run that each repeats."""
     now = current_runs(runs).filter("status = 'done'")
     harness = now.filter("framework = 'lm_eval_harness'").select(
-        F.col("run_id").alias("harness"), F.get_json_object("config_json", "$.parity_of").alias("ladder")
+        F.col("run_id").alias("harness"), F.get_json_object("config_json", "$.parity_of").alias("base")
     )
-    done = now.filter("framework = 'ladder'").select(F.col("run_id").alias("ladder"))
-    return harness.filter("ladder is not null").join(done, "ladder", "left_semi")
+    done = now.filter("framework = 'ladder'").select(F.col("run_id").alias("base"))
+    return harness.filter("base is not null").join(done, "base", "left_semi")
 
 
 def parity_differences(runs: DataFrame, results: DataFrame) -> DataFrame:
-    """Differences between each harness run and the ladder run it repeats.
+    """Differences between each harness run and the run it repeats.
 
-    Result: distinct ``harness, run_id`` (the ladder run), ``example_id, field``. Of several rows for
+    Result: distinct ``harness, run_id`` (the run repeated), ``example_id, field``. Of several rows for
     one run and example the one recorded last holds, ties going to the greatest values. Rows
     without ``run_id`` or ``example_id`` are no example. Empty tables give no rows; further columns of the
     inputs are ignored.
     """
     pairs = materialise(parity_pairs(runs), "parity-pairs")
-    sides = pairs.select(F.col("harness").alias("grp"), F.col("ladder").alias("run_id"), F.lit(0).alias("side")).unionByName(
+    sides = pairs.select(F.col("harness").alias("grp"), F.col("base").alias("run_id"), F.lit(0).alias("side")).unionByName(
         pairs.select(F.col("harness").alias("grp"), F.col("harness").alias("run_id"), F.lit(1).alias("side"))
     )
     plain = results.select("run_id", "example_id", "recorded_at", "correct", "score", "detail_json").filter(
@@ -221,7 +221,7 @@ def parity_differences(runs: DataFrame, results: DataFrame) -> DataFrame:
     rows = prints.join(sides, "run_id").select("grp", F.col("example_id").alias("key"), "side", "fp")
     open_keys = materialise(differing_keys(rows), "parity-keys")
     # Only now, for the few keys left, are the values read.
-    # A ladder run may be repeated by several harness runs, so a key is open for the one pair only.
+    # A run may be repeated by several harness runs, so a key is open for the one pair only.
     wanted_of = sides.join(open_keys, "grp").select("run_id", F.col("key").alias("example_id"), "grp", "side")
     picked = wanted_of.select("run_id", "example_id").distinct()
     # Ties in time fall to the same row as above, the one with the greatest fingerprint.
@@ -240,6 +240,6 @@ def parity_differences(runs: DataFrame, results: DataFrame) -> DataFrame:
     return (
         field_differences(both)
         .join(pairs.withColumnRenamed("harness", "grp"), "grp")
-        .select(F.col("grp").alias("harness"), F.col("ladder").alias("run_id"), F.col("key").alias("example_id"), named.alias("field"))
+        .select(F.col("grp").alias("harness"), F.col("base").alias("run_id"), F.col("key").alias("example_id"), named.alias("field"))
         .distinct()
     )

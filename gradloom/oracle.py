@@ -112,6 +112,45 @@ _RUNS = f"""cur AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r
  fin AS (SELECT done.*, round(log10(params), 6) AS x FROM done JOIN size USING (model_id) WHERE step = 143000)"""
 _ACC5 = "('arc_easy', 'hellaswag', 'mmlu', 'lambada', 'gsm8k')"
 
+
+def _load(dataset: str, table: str, *fields: str, order: str = "row_no", where: str = "true") -> str:
+    """A loader's first 50 examples: the last delivery of each, in the place of the first, filtered before the limit."""
+    return f"""WITH t AS (SELECT example_id, arg_max(payload, {{'a': added_at, 'r': row_no}}) AS payload, min(row_no) AS row_no FROM {table} WHERE split = 'test' AND example_id IS NOT NULL GROUP BY example_id),
+        o AS (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS ord FROM t WHERE {where})
+        SELECT ord, '{dataset}' AS dataset, 'test' AS split, example_id, {', '.join(f'payload.{f} AS {f}' for f in fields)} FROM o WHERE ord < 50"""
+
+
+_POOL = "['high_school_mathematics', 'college_computer_science', 'high_school_world_history', 'professional_law', 'moral_scenarios', 'astronomy', 'college_biology', 'world_religions']"
+
+
+def _get(side: str, field: str) -> str:
+    return f"json_extract_string({side}.detail_json, '$.{field}')"
+
+
+def _far(field: str) -> str:
+    """Whether two lists of numbers are there and differ in length or beyond the tolerance; null is told from any number."""
+    x, y = (f"try_cast(json_extract({s}.detail_json, '$.{field}') AS DOUBLE[])" for s in ("a", "b"))
+    apart = f"list_bool_or(list_transform(list_zip({x}, {y}), lambda z: NOT coalesce(abs(z[1] - z[2]) <= 1e-6, false)))"
+    return f"coalesce({x} IS NOT NULL AND {y} IS NOT NULL AND (len({x}) <> len({y}) OR coalesce({apart}, false)), false)"
+
+
+def _number_of(side: str, field: str) -> str:
+    return f"try_cast({_get(side, field)} AS DOUBLE)"
+
+
+_PARITY = f"""{_RUNS}, pair AS (SELECT run_id AS harness, json_extract_string(config_json, '$.parity_of') AS base FROM done WHERE framework = 'lm_eval_harness'
+          AND json_extract_string(config_json, '$.parity_of') IN (SELECT run_id FROM done WHERE framework = 'ladder')),
+        v AS (SELECT * FROM example_results QUALIFY row_number() OVER (PARTITION BY run_id, example_id ORDER BY recorded_at DESC, correct DESC NULLS LAST, detail_json DESC NULLS LAST) = 1),
+        a AS (SELECT harness, example_id, correct, detail_json FROM pair JOIN v ON v.run_id = base), b AS (SELECT harness, example_id, correct, detail_json FROM pair JOIN v ON v.run_id = harness),
+        j AS (SELECT coalesce(a.harness, b.harness) AS harness, a.example_id IS NULL OR b.example_id IS NULL AS one,
+          (a.correct = 1) IS NOT DISTINCT FROM (b.correct = 1) AND a.example_id IS NOT NULL AND b.example_id IS NOT NULL AS agree,
+          coalesce(abs({_number_of('a', 'answer_index')} - {_number_of('b', 'answer_index')}) > 1e-6, false) OR coalesce(abs({_number_of('a', 'answer_number')} - {_number_of('b', 'answer_number')}) > 1e-6, false) AS gold,
+          coalesce({_get('a', 'prompt')} <> {_get('b', 'prompt')}, false) AS prompt,
+          ({_get('a', 'generation')} IS NOT NULL OR {_get('b', 'generation')} IS NOT NULL) AND {_number_of('a', 'extracted_number')} IS DISTINCT FROM {_number_of('b', 'extracted_number')} AS extracted,
+          {_far('logliks')} AS far, {_far('logliks_norm')} AS far_norm FROM a FULL JOIN b ON a.harness = b.harness AND a.example_id = b.example_id),
+        sorted AS (SELECT harness, agree, CASE WHEN agree THEN NULL WHEN one OR gold THEN 'DATA_MISMATCH' WHEN prompt THEN 'PROMPT_FORMAT' WHEN extracted THEN 'ANSWER_EXTRACTION'
+          WHEN NOT far AND far_norm THEN 'NORMALIZATION' WHEN far THEN 'TOKENIZATION_BOUNDARY' ELSE 'UNEXPLAINED' END AS category FROM j)"""
+
 ORACLE = {
     "ppl_by_lang": f"""WITH {_TOTALS},
         g AS (SELECT lang, count(*) AS n_docs, sum(units) AS units, sum(n_tok) AS n_tok, sum(n_bytes) AS n_bytes FROM t GROUP BY lang)
@@ -186,14 +225,26 @@ ORACLE = {
     "invalidate_dry_run": f"""WITH {_RUNS}, wrong AS (SELECT run_id FROM done WHERE dataset = 'gsm8k')
         SELECT (SELECT count(*) FROM wrong) AS n_runs, (SELECT count(*) FROM example_results WHERE run_id IN (SELECT run_id FROM wrong)) AS n_results,
                (SELECT count(DISTINCT request_hash) FROM predictions WHERE prompt_variant_id = 'gsm8k/gen_v1') AS n_predictions""",
-    "parity_diff": f"""WITH {_RUNS}, pair AS (SELECT run_id AS harness, json_extract_string(config_json, '$.parity_of') AS ladder FROM done WHERE framework = 'lm_eval_harness'
-          AND json_extract_string(config_json, '$.parity_of') IN (SELECT run_id FROM done WHERE framework = 'ladder')),
-        v AS (SELECT * FROM example_results QUALIFY row_number() OVER (PARTITION BY run_id, example_id ORDER BY recorded_at DESC, correct DESC NULLS LAST, detail_json DESC NULLS LAST) = 1),
-        a AS (SELECT harness, example_id, correct, detail_json FROM pair JOIN v ON v.run_id = ladder), b AS (SELECT harness, example_id, correct, detail_json FROM pair JOIN v ON v.run_id = harness),
-        j AS (SELECT coalesce(a.harness, b.harness) AS harness, a.example_id IS NULL OR b.example_id IS NULL AS one, a.correct IS NOT DISTINCT FROM b.correct AS same,
-          coalesce(abs(try_cast(json_extract_string(a.detail_json, '$.answer_index') AS DOUBLE) - try_cast(json_extract_string(b.detail_json, '$.answer_index') AS DOUBLE)) > 1e-6, false)
-          OR coalesce(abs(try_cast(json_extract_string(a.detail_json, '$.answer_number') AS DOUBLE) - try_cast(json_extract_string(b.detail_json, '$.answer_number') AS DOUBLE)) > 1e-6, false) AS gold
-          FROM a FULL JOIN b ON a.harness = b.harness AND a.example_id = b.example_id)
-        SELECT harness, count(*) AS n, sum((NOT one AND same)::INT)::BIGINT AS n_agree, sum((one OR (NOT same AND gold))::INT)::BIGINT AS n_data_mismatch FROM j GROUP BY harness""",
+    "parity_diff": f"""WITH {_PARITY} SELECT harness, count(*) AS n, sum(agree::INT)::BIGINT AS n_agree, sum((category = 'DATA_MISMATCH')::INT)::BIGINT AS n_data_mismatch
+        FROM (SELECT harness, agree, coalesce(category, '') AS category FROM sorted) GROUP BY harness""",
+    "parity_categories": f"WITH {_PARITY} SELECT harness, category, count(*) AS n FROM sorted WHERE category IS NOT NULL GROUP BY ALL",
+    "load_arc": _load("arc_easy", "arc_easy", "question", "answer_index"),
+    "load_mmlu": _load("mmlu", "mmlu", "subject", "question", "answer_index", order=f"list_position({_POOL}, payload.subject), row_no", where=f"list_contains({_POOL}, payload.subject)"),
+    "load_wikitext": _load("wikitext103", "wikitext", "text", where=_BODY).replace("payload.text AS text", f"{_strip('payload.text')} AS text"),
+    "load_gsm8k": _load("gsm8k", "gsm8k", "question", "answer_number"),
+    "shared_split_ids": "SELECT example_id FROM arc_easy WHERE split = 'train' INTERSECT SELECT example_id FROM arc_easy WHERE split = 'test'",
+    "normalised_arc": f"""SELECT 'arc_easy-' || row_no AS example_id, payload.question AS question, len(payload.choices)::INT AS n_choices, payload.answer_index AS answer_index
+        {_MC_ROWS.format(table='arc_easy')} AND payload.answer_index BETWEEN 0 AND len(payload.choices) - 1""",
+    "rendered_context": f"""SELECT 'hellaswag-' || row_no AS example_id, payload.question || chr(10) AS prompt, array_to_string({_BY_TEXT}, '|') AS continuations, payload.answer_index AS answer_index
+        {_MC_ROWS.format(table='arc_easy')}""",
+    "gold_numbers": "SELECT row_no AS ord, trunc(payload.answer_number)::DOUBLE AS answer_number FROM gsm8k WHERE payload.question IS NOT NULL AND payload.answer_number IS NOT NULL",
+    "series_points": f"""WITH {_RUNS}, ch AS (SELECT * FROM (VALUES ('arc_easy', 0.25), ('hellaswag', 0.25), ('mmlu', 0.25), ('lambada', 0.0), ('gsm8k', 0.0)) v(dataset, chance)),
+        p AS (SELECT done.dataset, log10(params) AS px, acc FROM done JOIN size USING (model_id) WHERE step = 143000 AND acc IS NOT NULL)
+        SELECT dataset, count(*) AS n_points, string_agg(round(px * 1000000)::BIGINT || ':' || round(acc * 1000000)::BIGINT, ' ' ORDER BY px, acc) AS points, any_value(chance)::DOUBLE AS chance
+        FROM p LEFT JOIN ch USING (dataset) GROUP BY dataset""",
+    "cached_rerun": f"""WITH {_CLOZE}, m AS (SELECT {_BLOCK} AS prompt, unnest({_BY_LETTER}) AS cont {_MC_ROWS.format(table='arc_easy')}),
+        z AS (SELECT context AS prompt, ' ' || target AS cont, NULL AS budget FROM c UNION ALL SELECT context, NULL, greatest(len({_words('target')}), 1) * 4 FROM c),
+        t AS (SELECT 'loglik_mc' AS evaluator, count(*) AS n, count(DISTINCT {{'p': prompt, 'c': cont}}) AS d FROM m UNION ALL SELECT 'cloze', count(*), count(DISTINCT {{'p': prompt, 'c': cont, 'b': budget}}) FROM z)
+        SELECT evaluator, attempt::INT AS attempt, CASE attempt WHEN 1 THEN n - d ELSE n END AS hits, CASE attempt WHEN 1 THEN d ELSE 0 END AS misses, 0::BIGINT AS unanswered FROM t, (VALUES (1), (2)) a(attempt)""",
     "json_detail": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
 }

@@ -2,24 +2,54 @@
 
 from __future__ import annotations
 
+import json
+from datetime import UTC, datetime
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import metrics
+from ..operators.store import Warehouse
+
 CATEGORIES = ("PROMPT_FORMAT", "ANSWER_EXTRACTION", "NORMALIZATION", "TOKENIZATION_BOUNDARY", "DATA_MISMATCH", "UNEXPLAINED")
 
 HARNESS = "doc_id string, example_id string, prompt string, target int, resps array<double>, resps_norm array<double>, acc double, generation string, extracted string"
 
 
-def import_harness(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+#: The framework of imported runs, unless another is named.
+FRAMEWORK = "lm_eval_harness"
+
+
+def import_harness(spark: SparkSession, path: str, run_id: str, framework: str = FRAMEWORK) -> DataFrame:
     """An external harness's per-example JSON Lines as result rows: ``run_id, example_id, correct, score, detail_json, framework``."""
     raw = spark.read.schema(HARNESS).json(path)
     detail = F.to_json(F.struct(F.col("target").alias("answer_index"), F.col("resps").alias("logliks"), F.col("resps_norm").alias("logliks_norm"), "prompt", "generation", F.col("extracted").alias("extracted_number")))
     return raw.select(
         F.lit(run_id).alias("run_id"), F.coalesce("example_id", "doc_id").alias("example_id"), (F.col("acc") >= 0.5).alias("correct"), F.col("acc").alias("score"),
-        detail.alias("detail_json"), F.lit("lm_eval_harness").alias("framework"),
+        detail.alias("detail_json"), F.lit(framework).alias("framework"),
     )
 
 
+def imported_run(run_id: str, model_id: str, revision: str, dataset: str, split: str, variant: str | None, evaluator: str, framework: str = FRAMEWORK) -> dict:
+    """The record of a run that another framework made."""
+    return {
+        "run_id": run_id, "model_id": model_id, "revision": revision, "dataset": dataset, "split": split, "prompt_variant_id": variant, "evaluator": evaluator, "framework": framework, "seed": 0,
+        "code_version": framework, "config_json": json.dumps({"split": split, "limit": None, "seed": 0, "imported": True}),
+    }
+
+
+def import_run(warehouse: Warehouse, path: str, run: dict) -> dict:
+    """Write an external run's results and its record, whose accuracy is that of the rows; gives the record."""
+    rows = import_harness(warehouse.spark, path, run["run_id"], run["framework"])
+    n, acc = rows.agg(F.count("*"), metrics.acc(F.col("correct"))).first()
+    now = datetime.now(UTC).isoformat(timespec="seconds")
+    record = run | {"metrics": {"acc": float(acc)}, "n_examples": n, "started_at": now, "finished_at": now, "status": "done"}
+    warehouse.save_results(run["run_id"], rows)
+    warehouse.save_run(record)
+    return record
+
+
 def parity(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """``example_id, agree, category`` of two runs' results; the category is null where they agree.
 
@@ -63,3 +93,21 @@ def agreement(rows: DataFrame) -> DataFrame:
 def category_counts(rows: DataFrame) -> DataFrame:
     """Disagreements by category."""
     return rows.filter("category is not null").groupBy("category").agg(F.count("*").alias("n"))
+
+
+#: Disagreeing examples of each category that a report names.
+REPORT_EXAMPLES = 20
+
+
+def write_report(rows: DataFrame, a: str, b: str, path: str) -> None:
+    """A Markdown report of a parity join: agreement, categories, and some examples of each category by id."""
+    total = agreement(rows).first()
+    lines = [f"# Parity of {a} and {b}", "", f"{total['n_agree'] or 0} of {total['n']} examples agree ({total['rate'] or 0:.4f}).", "", "| category | examples |", "|-|-|"]
+    counts = {r["category"]: r["n"] for r in category_counts(rows).collect()}
+    lines += [f"| {c} | {counts.get(c, 0)} |" for c in CATEGORIES]
+    for c in CATEGORIES:
+        if c in counts:
+            some = rows.filter(F.col("category") == c).select("example_id").orderBy("example_id").limit(REPORT_EXAMPLES).collect()
+            lines += ["", f"## {c}", "", *[f"- {r['example_id']}" for r in some]]
+    lines += ["", "The check " + ("fails: disagreements are unexplained." if total["unexplained"] else "passes.")]
+    Path(path).write_text("\n".join(lines) + "\n", encoding="utf-8")

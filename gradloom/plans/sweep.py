@@ -115,11 +115,11 @@ class Outcome:
 
 def execute(
     warehouse: Warehouse, root: str, model_id: str, revision: str, dataset: str, split: str, variant: str | None, evaluator: str,
-    limit: int | None, seed: int, scorer: Callable[[DataFrame], DataFrame], pool_split: str | None = None, window: int = 1024,
+    limit: int | None, seed: int, scorer: Callable[[DataFrame], DataFrame], pool_split: str | None = None, window: int = 1024, library: str | None = None,
 ) -> tuple[str, bool]:
     """One run from its ``running`` row to ``done`` or ``failed``: ``run_id`` and whether it succeeded.
 
-    Results and the finished row are written only when the metrics are there, so a failed run leaves none behind.
+    Results are written only when the metrics are there, and removed again if the finished row can't be, so a failed run leaves none behind.
     """
     spark = warehouse.spark
     run = {
@@ -131,7 +131,7 @@ def execute(
     try:
         load = get_loader(dataset)
         examples = load(spark, root, split, limit)
-        chosen = load_variant(variant) if variant else None
+        chosen = load_variant(variant, library) if variant else None
         demos = None
         if chosen is not None and chosen.num_fewshot:
             pool = load(spark, root, pool_split or ("fixture_train" if split.startswith("fixture") else chosen.fewshot_split), None)
@@ -146,16 +146,17 @@ def execute(
         warehouse.save_run(run | {"metrics": {k: float(v) for k, v in row.items()}, "n_examples": n, "config_json": json.dumps(config), "finished_at": _now(), "status": "done"})
         return run["run_id"], True
     except Exception as e:  # noqa: BLE001 - a failed run is recorded, the sweep goes on
+        warehouse.drop_results(run["run_id"])
         config = {"split": split, "limit": limit, "seed": seed, "error": str(e)[:500]}
         warehouse.save_run(run | {"config_json": json.dumps(config), "finished_at": _now(), "status": "failed"})
         return run["run_id"], False
 
 
-def cache_keys(warehouse: Warehouse, root: str, run: dict, window: int = 1024) -> DataFrame:
+def cache_keys(warehouse: Warehouse, root: str, run: dict, window: int = 1024, library: str | None = None) -> DataFrame:
     """``request_hash`` of all requests that a recorded run made: its examples are loaded and rendered again, nothing is scored."""
     limit = json.loads(run["config_json"] or "{}").get("limit")
     load = get_loader(run["dataset"])
-    chosen = load_variant(run["prompt_variant_id"]) if run["prompt_variant_id"] else None
+    chosen = load_variant(run["prompt_variant_id"], library) if run["prompt_variant_id"] else None
     demos = None
     if chosen is not None and chosen.num_fewshot:
         pool = load(warehouse.spark, root, "fixture_train" if run["split"].startswith("fixture") else chosen.fewshot_split, None)
@@ -164,7 +165,9 @@ def cache_keys(warehouse: Warehouse, root: str, run: dict, window: int = 1024) -
     return evaluators.requests_of(examples, run["evaluator"], chosen, run["model_id"], run["revision"], demos, window).select("request_hash").distinct()
 
 
-def run_sweep(warehouse: Warehouse, root: str, spec: Spec, scorer_of: Callable[[str, str], Callable[[DataFrame], DataFrame]], window: int = 1024) -> Outcome:
+def run_sweep(
+    warehouse: Warehouse, root: str, spec: Spec, scorer_of: Callable[[str, str], Callable[[DataFrame], DataFrame]], window: int = 1024, library: str | None = None
+) -> Outcome:
     """Execute what isn't done, grouped by model and revision so that each is loaded once; an unknown model fails its own runs only."""
     planned = planned_runs(warehouse.spark, spec)
     rest = todo(planned, done_keys(warehouse.runs())).orderBy("ord").collect()
@@ -178,7 +181,7 @@ def run_sweep(warehouse: Warehouse, root: str, spec: Spec, scorer_of: Callable[[
             except KeyError:
                 scorers[group] = None
         scorer = scorers[group] or _unknown(r["model_id"])
-        run_id, ok = execute(warehouse, root, *group, r["dataset"], r["split"], r["variant"], r["evaluator"], r["limit"], r["seed"], scorer, window=window)
+        run_id, ok = execute(warehouse, root, *group, r["dataset"], r["split"], r["variant"], r["evaluator"], r["limit"], r["seed"], scorer, window=window, library=library)
         out.executed.append(run_id)
         if not ok:
             out.failed.append(run_id)

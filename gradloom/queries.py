@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import evaluators as E
 from .operators import metrics as M
-from .operators import render, store
+from .operators import render, store, table_diff
 from .operators.windows import window_spans
 from .plans import parity, reports, sweep
-from .session import spread, table
+from .session import spread, table, work_dir
 from .sources import datasets as D
 
 MODEL, REVISION = "offline-7", "main"
 WINDOW, STRIDE = 64, 32
-POOL_LIMIT = 300
+POOL_LIMIT, LOAD_LIMIT = 300, 50
 _SCORE = E.offline_scorer(0)
 
 
@@ -25,14 +25,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doc_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likelihood, tokens and bytes of each document, those without words included; the language is looked up after the windows are summed."""
-    docs = _documents(spark, sf_dir)
-    requests = E.window_requests(docs, "doc_id", "text", MODEL, REVISION, WINDOW, STRIDE)
-    totals = E.offline_totals(requests.drop("request_hash")).select(F.col("example_id").alias("doc_id"), "units", "tokens")
-    sizes = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "lang", F.octet_length("text").cast("bigint").alias("n_bytes"))
-    return sizes.join(totals, "doc_id", "left").select(
-        "doc_id", "lang", F.coalesce("units", F.lit(0)).alias("units"), F.coalesce("tokens", F.lit(0)).alias("n_tok"), "n_bytes"
-    )
+    """Likelihood, tokens and bytes of each document, those without words included. Documents are read once; language and bytes travel with the windows."""
+    requests = E.window_requests(_documents(spark, sf_dir), "doc_id", "text", MODEL, REVISION, WINDOW, STRIDE, ("lang",), empty=True)
+    totals = E.offline_totals(requests.drop("request_hash"), carry=("lang",))
+    return totals.select(F.col("example_id").alias("doc_id"), "lang", "units", F.col("tokens").alias("n_tok"), F.col("raw_bytes").alias("n_bytes"))
 
 
 def _nats(units):
@@ -78,9 +74,8 @@ def seeded_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pooled_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pool's subjects one after the other, under one limit."""
-    order = F.array_position(F.array(*map(F.lit, D.MMLU_SUBJECTS)), F.col("subject"))
-    rows = table(spark, sf_dir, "mmlu").select("row_no", F.col("payload.subject").alias("subject")).filter(order > 0)
-    return D.first_n(D.with_ordinal(rows, [order, F.col("row_no")]), POOL_LIMIT).select("ord", "row_no", "subject")
+    rows = table(spark, sf_dir, "mmlu").select("row_no", F.col("payload.subject").alias("subject"))
+    return D.pooled(rows, F.col("subject"), [F.col("row_no")], POOL_LIMIT).select("ord", "row_no", "subject")
 
 
 def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,23 +280,117 @@ def invalidate_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrong.agg(F.count("*").alias("n_runs")).join(results, F.lit(True)).join(keys, F.lit(True))
 
 
-def parity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement of each harness run with the run it repeats: categories of disagreement."""
-    from .operators.table_diff import parity_pairs
-
-    pairs = parity_pairs(table(spark, sf_dir, "runs"))
-    rows = table(spark, sf_dir, "example_results").groupBy("run_id", "example_id").agg(F.max_by(F.struct("correct", "detail_json"), F.struct("recorded_at", "correct", "detail_json")).alias("v"))
+def _parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parity join of every harness run with the run it repeats, adds ``harness``. Other runs' results are left out before they are grouped."""
+    pairs = table_diff.parity_pairs(table(spark, sf_dir, "runs"))
+    asked = pairs.select(F.col("base").alias("run_id")).unionByName(pairs.select(F.col("harness").alias("run_id"))).distinct()
+    wanted = table(spark, sf_dir, "example_results").join(asked, "run_id", "left_semi")
+    rows = wanted.groupBy("run_id", "example_id").agg(F.max_by(F.struct("correct", "detail_json"), F.struct("recorded_at", "correct", "detail_json")).alias("v"))
     flat = rows.select("run_id", "example_id", (F.col("v.correct") == 1).alias("correct"), F.col("v.detail_json").alias("detail_json"))
 
     def side(column: str) -> DataFrame:
         own = pairs.select(F.col("harness").alias("h"), F.col(column).alias("run_id"))
         return flat.join(own, "run_id").select(F.concat_ws("|", "h", "example_id").alias("example_id"), "correct", "detail_json")
 
-    joined = parity.parity(side("ladder"), side("harness"))
-    by = joined.withColumn("harness", F.substring_index("example_id", "|", 1)).groupBy("harness")
+    return parity.parity(side("base"), side("harness")).withColumn("harness", F.substring_index("example_id", "|", 1))
+
+
+def parity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of each harness run with the run it repeats."""
+    by = _parity(spark, sf_dir).groupBy("harness")
     return by.agg(F.count("*").alias("n"), F.sum(F.col("agree").cast("int")).alias("n_agree"), F.sum(F.when(F.col("category") == "DATA_MISMATCH", 1).otherwise(0)).alias("n_data_mismatch"))
 
 
+def parity_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disagreements of each harness run by category."""
+    return _parity(spark, sf_dir).filter("category is not null").groupBy("harness", "category").agg(F.count("*").alias("n"))
+
+
+def _loaded(spark: SparkSession, sf_dir: str, dataset: str, *fields: str) -> DataFrame:
+    rows = D.get_loader(dataset)(spark, sf_dir, "test", LOAD_LIMIT)
+    return rows.select("ord", "dataset", "split", "example_id", *[F.col(f"payload.{f}").alias(f) for f in fields])
+
+
+def load_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first test examples, re-delivered rows being one."""
+    return _loaded(spark, sf_dir, "arc_easy", "question", "answer_index")
+
+
+def load_mmlu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first test examples of the pooled subjects."""
+    return _loaded(spark, sf_dir, "mmlu", "subject", "question", "answer_index")
+
+
+def load_wikitext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first test texts that are neither blank nor headings."""
+    return _loaded(spark, sf_dir, "wikitext103", "text")
+
+
+def load_gsm8k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first test problems."""
+    return _loaded(spark, sf_dir, "gsm8k", "question", "answer_number")
+
+
+def shared_split_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that the train split shares with the test split."""
+    rows = table(spark, sf_dir, "arc_easy")
+    return D.shared_ids(rows.filter("split = 'train'"), rows.filter("split = 'test'"))
+
+
+def normalised_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw multiple-choice rows, with labels instead of an answer's number, made examples."""
+    rows = _mc(spark, sf_dir).filter("answer_index between 0 and size(payload.choices) - 1".replace("answer_index", "payload.answer_index"))
+    label = F.transform("payload.choices", lambda x, i: F.char(i + 65))
+    raw = rows.select(F.col("example_id").cast("string").alias("id"), "payload.question", F.struct(label.alias("label"), F.col("payload.choices").alias("text")).alias("choices"), F.element_at(label, F.col("payload.answer_index") + 1).alias("answerKey"))
+    return D.normalise_arc(raw, "test").select("example_id", "payload.question", F.size("payload.choices").alias("n_choices"), "payload.answer_index")
+
+
+def rendered_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw endings of a context made examples and rendered: the context is the prompt, the endings' texts are scored."""
+    raw = _mc(spark, sf_dir).select(F.col("example_id").alias("ind"), F.col("payload.question").alias("ctx"), F.col("payload.choices").alias("endings"), F.col("payload.answer_index").cast("string").alias("label"))
+    shown = render.render(D.normalise_hellaswag(raw, "test"), render.load_variant("hellaswag/mc_context_v1"))
+    return shown.select("example_id", "prompt", F.array_join("continuations", "|").alias("continuations"), "payload.answer_index")
+
+
+def gold_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw answers that end in a number with thousands marks, made examples."""
+    raw = table(spark, sf_dir, "gsm8k").filter("payload.question is not null and payload.answer_number is not null").select(
+        F.col("row_no").alias("ord"), "payload.question", F.concat(F.lit("so far 12\n#### "), F.format_number(F.col("payload.answer_number").cast("bigint"), 0)).alias("answer")
+    )
+    return D.normalise_gsm8k(raw, "test").select("ord", "payload.answer_number")
+
+
+def series_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scaling curve of each dataset as one ordered series, in millionths, with the chance rate."""
+    rows = reports.scaling_series(_runs(spark, sf_dir), "acc")
+    text = F.array_join(F.transform("points", lambda p: F.concat_ws(":", F.round(p["x"] * 1_000_000).cast("bigint").cast("string"), F.round(p["y"] * 1_000_000).cast("bigint").cast("string"))), " ")
+    return rows.select("dataset", F.size("points").cast("bigint").alias("n_points"), text.alias("points"), "chance")
+
+
+def seeded_demonstrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts after the five demonstrations that the variant's seed draws from the train split."""
+    variant = render.load_variant("arc_easy/mc_letter_5shot_v1")
+    pool = D.get_loader("arc_easy")(spark, sf_dir, "train").filter("payload.question is not null and payload.choices is not null and payload.answer_index is not null")
+    demos = render.sample_demos(D.with_ordinal(pool.drop("ord"), [F.col("row_no")]), variant)
+    shown = render.render(_mc(spark, sf_dir).filter("split = 'test'"), variant, demos)
+    return shown.select(F.col("example_id").alias("row_no"), "prompt")
+
+
+def cached_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and misses of a multiple-choice run and of a cloze run, each cold and once more, with a cache that is written and read."""
+    warehouse = store.Warehouse(spark, work_dir(spark))
+    out = []
+    for name, asked in (
+        ("loglik_mc", E.mc_requests(_mc(spark, sf_dir), render.load_variant("arc_easy/mc_letter_v1"), MODEL, REVISION)),
+        ("cloze", E.cloze_requests(_cloze(spark, sf_dir), render.load_variant("lambada/cloze_v1"), MODEL, REVISION)),
+    ):
+        for attempt in (1, 2):
+            cache = store.PredictionCache(warehouse)
+            unanswered = cache.scorer(_SCORE, MODEL, REVISION)(asked).filter("answer is null").count()
+            out.append((name, attempt, cache.hits, cache.misses, unanswered))
+    return spark.createDataFrame(out, "evaluator string, attempt int, hits bigint, misses bigint, unanswered bigint")
+
+
 def json_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A number out of JSON text."""
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
@@ -320,6 +409,7 @@ QUERIES = {
         ppl_by_lang, doc_bpb, window_plan, ppl_micro_vs_macro, token_contiguity, heading_filter, seeded_slice, pooled_limit, content_ids, cloze_split, cloze_scored, cloze_metrics,
         mc_render_letter, mc_render_option_text, fewshot_prompts, mc_results, mc_acc_by_variant, acc_null_is_wrong, extract_number, stop_truncate, generative_results,
         cache_counters, cache_misses, cache_hits, sweep_plan, resume_todo, latest_run, failed_runs, grid_last_write, scaling_series, headline_series, sensitivity_series, trajectory_series,
-        model_order, invalidate_dry_run, parity_diff, json_detail,
+        model_order, invalidate_dry_run, parity_diff, parity_categories, json_detail,
+        load_arc, load_mmlu, load_wikitext, load_gsm8k, shared_split_ids, normalised_arc, rendered_context, gold_numbers, series_points, seeded_demonstrations, cached_rerun,
     )
 }

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..schemas import example_schema
-from ..session import materialise
+from ..session import materialise, partitions_for
 
 #: Subject configurations that are pooled, in this order. Fixed values.
 MMLU_SUBJECTS = (
@@ -24,6 +24,8 @@ MMLU_SUBJECTS = (
     "world_religions",
 )
 SLICE_SIZE, SLICE_SEED = 200, 0
+#: Bytes of a JSON Lines file at most: its line order is taken from the file read as one row.
+FIXTURE_BYTES = 64 << 20
 
 Loader = Callable[..., DataFrame]
 _LOADERS: dict[str, Loader] = {}
@@ -53,7 +55,7 @@ def with_ordinal(rows: DataFrame, order: list[Column]) -> DataFrame:
     are one number a partition. The sorted rows are written before they are counted: ranges are drawn from a sample, and rows
     counted in one draw must not be numbered in another.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_for(rows)
     keyed = rows.select("*", F.struct(*order).alias("_key"))
     ranged = keyed.repartitionByRange(parts, "_key").sortWithinPartitions("_key")
     numbered = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()).drop("_key")
@@ -73,8 +75,13 @@ def first_n(rows: DataFrame, limit: int | None) -> DataFrame:
 def read_jsonl(spark: SparkSession, path: str, dataset: str, limit: int | None = None) -> DataFrame:
     """A JSON Lines file in line order: blank lines are skipped, a line that doesn't parse fails; ``split`` comes from the rows.
 
-    The line number is taken when the file is read whole, as fixtures are; rows beyond the limit aren't parsed.
+    The line number is taken when the file is read whole, as fixtures are, so a file larger than ``FIXTURE_BYTES`` is refused: it
+    belongs in a table. Rows beyond the limit aren't parsed.
     """
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file).getLen()
+    if size > FIXTURE_BYTES:
+        raise ValueError(f"{path} has {size} bytes; fixtures have at most {FIXTURE_BYTES}")
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     kept = lines.filter(X.strip(F.col("value")) != "")
     numbered = kept.withColumn("ord", F.row_number().over(Window.orderBy("line")).cast("bigint") - 1)
@@ -114,14 +121,14 @@ def normalise_mmlu(raw: DataFrame, split: str) -> DataFrame:
     )
 
 
-def pooled(parts: list[DataFrame], limit: int | None = None) -> DataFrame:
-    """Parts with ``ord`` one after the other, as they come, under one limit; later parts may thus give nothing."""
-    out = None
-    for k, part in enumerate(parts):
-        named = part.withColumn("_part_no", F.lit(k))
-        out = named if out is None else out.unionByName(named)
-    ordered = with_ordinal(out.withColumnRenamed("ord", "_inner"), [F.col("_part_no"), F.col("_inner")])
-    return first_n(ordered.drop("_part_no", "_inner"), limit)
+def pool_order(subject: Column) -> Column:
+    """A subject's place in the pool, from 1; 0 for those that aren't pooled."""
+    return F.array_position(F.array(*map(F.lit, MMLU_SUBJECTS)), subject)
+
+
+def pooled(rows: DataFrame, subject: Column, order: list[Column], limit: int | None = None) -> DataFrame:
+    """The pool's subjects one after the other, each in the order given, under one limit; later subjects may thus give nothing. Adds ``ord``."""
+    return first_n(with_ordinal(rows.filter(pool_order(subject) > 0), [pool_order(subject), *order]), limit)
 
 
 def is_body_line(text: Column) -> Column:
@@ -175,6 +182,11 @@ def normalise_gsm8k(raw: DataFrame, split: str) -> DataFrame:
     )
 
 
+def shared_ids(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``example_id`` of examples in both: demonstrations must come from a pool that shares none with what is evaluated."""
+    return a.select("example_id").intersect(b.select("example_id"))
+
+
 def _ord(raw: DataFrame) -> list[Column]:
     return [F.col("ord")] if "ord" in raw.columns else []
 
@@ -199,13 +211,19 @@ def _make(dataset: str) -> Loader:
             name = dataset if split == "fixture" else f"{dataset}_{split.removeprefix('fixture_')}"
             return read_jsonl(spark, f"{root}/{TABLE_OF.get(name, name)}.jsonl", dataset, limit)
         rows = spark.read.parquet(f"{root}/{TABLE_OF.get(dataset, dataset)}.parquet")
-        if "payload" in rows.columns:
-            # Re-delivered rows are one example: that which came last. Its place is that of the first.
-            mine = rows.filter(F.col("split") == split)
-            latest = mine.groupBy("example_id").agg(F.max_by("payload", F.struct("added_at", "row_no")).alias("payload"), F.min("row_no").alias("row_no"))
-            whole = latest.select(F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), "example_id", "payload", "row_no")
-            return first_n(with_ordinal(whole, [F.col("row_no")]), limit)
-        return first_n(NORMALISERS[dataset](rows, split), limit)
+        if "payload" not in rows.columns:
+            if dataset == "mmlu":
+                return pooled(NORMALISERS[dataset](rows, split).withColumnRenamed("ord", "_ord"), F.col("payload.subject"), [F.col("_ord")], limit).drop("_ord")
+            return first_n(NORMALISERS[dataset](rows, split), limit)
+        # Re-delivered rows are one example: that which came last. Its place is that of the first.
+        mine = rows.filter((F.col("split") == split) & F.col("example_id").isNotNull())
+        latest = mine.groupBy("example_id").agg(F.max_by("payload", F.struct("added_at", "row_no")).alias("payload"), F.min("row_no").alias("row_no"))
+        whole = latest.select(F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), "example_id", "payload", "row_no")
+        if dataset == "mmlu":
+            return pooled(whole, F.col("payload.subject"), [F.col("row_no")], limit)
+        if dataset == "wikitext103":
+            whole = whole.filter(is_body_line(F.col("payload.text"))).withColumn("payload", F.struct(X.strip(F.col("payload.text")).alias("text")))
+        return first_n(with_ordinal(whole, [F.col("row_no")]), limit)
 
     return load
 

@@ -58,9 +58,14 @@ def test_windowed_perplexity_golden(spark):
 def test_totals_equal_the_scored_windows(spark):
     t = texts(spark, [("a", PANGRAM * 3), ("b", "one"), ("c", ""), ("d", "x  y\nz")])
     asked = E.window_requests(t, "example_id", "text", "m", "main", 4, 2)
-    want = E.perplexity_totals(E.offline_scorer(0)(asked)).select("example_id", "units", "tokens").collect()
+    nlls = F.aggregate("answer.token_nlls", F.lit(0.0), lambda a, x: a + x)
+    scored = E.offline_scorer(0)(asked).groupBy("example_id").agg(F.round(F.sum(nlls) * 10_000).cast("bigint").alias("units"), F.sum(F.size("answer.token_nlls")).alias("tokens"))
+    want = scored.collect()
     got = E.offline_totals(asked).select("example_id", "units", "tokens").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 3
+    every = E.window_requests(t.withColumn("lang", F.lit("en")), "example_id", "text", "m", "main", 4, 2, ("lang",), empty=True)
+    rows = {r["example_id"]: (r["lang"], r["units"], r["tokens"]) for r in E.offline_totals(every, carry=("lang",)).collect()}
+    assert rows["c"] == ("en", 0, 0) and {k: v[1:] for k, v in rows.items() if k != "c"} == {r["example_id"]: (r["units"], r["tokens"]) for r in got}
 
 
 def test_texts_without_words_score_nothing(spark):
@@ -137,7 +142,7 @@ def rigged(values):
     def score(requests):
         table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
         null = lambda t: F.lit(None).cast(t)
-        answer = F.struct(table[F.col("continuation")].alias("loglik"), F.lit(1).alias("n_tokens"), F.lit(True).alias("is_greedy_match"), null("array<bigint>").alias("token_units"), null("bigint").alias("n_bytes"), null("string").alias("generation"))
+        answer = F.struct(table[F.col("continuation")].alias("loglik"), F.lit(1).alias("n_tokens"), F.lit(True).alias("is_greedy_match"), null("array<double>").alias("token_nlls"), null("bigint").alias("n_bytes"), null("string").alias("generation"))
         return requests.withColumn("answer", answer)
     return score
 
@@ -171,9 +176,9 @@ def test_model_backed_scorer(spark):
     def load():
         def model(requests: pd.DataFrame) -> pd.DataFrame:
             n = len(requests)
-            return pd.DataFrame({"loglik": [-float(len(c)) for c in requests["continuation"]], "n_tokens": [1] * n, "is_greedy_match": [True] * n, "token_units": [None] * n, "n_bytes": [None] * n, "generation": [None] * n})
+            return pd.DataFrame({"loglik": [-float(len(c)) for c in requests["continuation"]], "n_tokens": [1] * n, "is_greedy_match": [True] * n, "token_nlls": [None] * n, "n_bytes": [None] * n, "generation": [None] * n})
 
-        return model
+        return model, lambda: None
 
     rows = spark.createDataFrame([("a", ("q", ["longer", "no"], 1))], MC)
     got = E.mc_results(E.batch_scorer(load)(E.mc_requests(rows, render.load_variant("arc_easy/mc_option_text_v1"), "m", "main"))).first()

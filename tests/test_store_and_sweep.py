@@ -57,12 +57,58 @@ def test_normalisers(spark):
     assert D.normalise_mmlu(mmlu, "test").first()["example_id"].startswith("mmlu-astronomy-")
 
 
+def test_tables_are_pooled_and_filtered_before_the_limit(spark, tmp_path):
+    head = "dataset string, split string, example_id string, row_no bigint, added_at timestamp"
+    texts = ["", " = Title = ", " body one ", None, "= x", "body two"]
+    spark.createDataFrame([("wikitext103", "test", f"w{i}", i, None, (t,)) for i, t in enumerate(texts)], f"{head}, payload struct<text: string>").write.parquet(f"{tmp_path}/wikitext.parquet")
+    got = D.get_loader("wikitext103")(spark, str(tmp_path), "test", 2).orderBy("ord").collect()
+    assert [(r["ord"], r["example_id"], r["payload"]["text"]) for r in got] == [(0, "w2", "body one"), (1, "w4", "= x")]
+    rows = [("mmlu", "test", f"m{i}", i, None, ("q", ["a"], 0, s)) for i, s in enumerate(["astronomy", "chess", "high_school_mathematics", "astronomy"])]
+    spark.createDataFrame(rows, f"{head}, payload struct<question: string, choices: array<string>, answer_index: int, subject: string>").write.parquet(f"{tmp_path}/mmlu.parquet")
+    got = D.get_loader("mmlu")(spark, str(tmp_path), "test", 2).orderBy("ord").collect()
+    assert [r["example_id"] for r in got] == ["m2", "m0"]
+
+
+def test_large_fixtures_are_refused(spark, tmp_path, monkeypatch):
+    (tmp_path / "arc_easy.jsonl").write_text('{"split": "fixture"}\n')
+    monkeypatch.setattr(D, "FIXTURE_BYTES", 10)
+    with pytest.raises(ValueError, match="fixtures have at most"):
+        D.get_loader("arc_easy")(spark, str(tmp_path), "fixture")
+
+
+def test_demonstrations_share_nothing_with_the_evaluation(spark, tmp_path):
+    line = '{{"dataset": "arc_easy", "split": "{s}", "example_id": "{i}", "payload": {{"question": "q", "choices": ["a"], "answer_index": 0}}}}\n'
+    (tmp_path / "arc_easy.jsonl").write_text("".join(line.format(s="fixture", i=f"e{k}") for k in range(3)))
+    (tmp_path / "arc_easy_train.jsonl").write_text("".join(line.format(s="fixture_train", i=f"t{k}") for k in range(5)))
+    load = D.get_loader("arc_easy")
+    ours, train = load(spark, str(tmp_path), "fixture"), load(spark, str(tmp_path), "fixture_train")
+    assert train.count() == 5 and D.shared_ids(ours, train).count() == 0
+    assert [r["example_id"] for r in D.shared_ids(ours, ours.limit(1)).collect()] == ["e0"]
+
+
+def test_a_run_that_fails_late_leaves_no_results(spark, data, tmp_path, monkeypatch):
+    from gradloom.operators.store import Warehouse
+    from gradloom.plans import sweep as S
+
+    db = Warehouse(spark, str(tmp_path / "late"))
+    save = db.save_run
+
+    def broken(run):
+        if run["status"] == "done":
+            raise OSError("disk full")
+        save(run)
+
+    monkeypatch.setattr(db, "save_run", broken)
+    run_id, ok = S.execute(db, data, "offline", "main", "arc_easy", "fixture", "arc_easy/mc_letter_v1", "loglik_mc", None, 0, E.offline_scorer(0))
+    assert not ok and db.get_run(run_id)["status"] == "failed" and db.results(run_id).count() == 0
+
+
 def test_ordinals_pool_and_slice(spark):
     rows = spark.range(100).select((99 - F.col("id")).alias("v"))
     got = D.with_ordinal(rows, [F.col("v")]).collect()
     assert all(r["v"] == r["ord"] for r in got) and len(got) == 100
-    parts = [D.with_ordinal(spark.range(a, b).toDF("v"), [F.col("v")]) for a, b in ((50, 53), (10, 20))]
-    assert [r["v"] for r in D.pooled(parts, 5).orderBy("ord").collect()] == [50, 51, 52, 10, 11]
+    subjects = spark.createDataFrame([(1, "astronomy"), (2, "college_biology"), (3, "high_school_mathematics"), (4, "chess"), (5, "astronomy"), (6, "high_school_mathematics")], "v int, s string")
+    assert [r["v"] for r in D.pooled(subjects, F.col("s"), [F.col("v")], 4).orderBy("ord").collect()] == [3, 6, 1, 5]
     a = {r["v"] for r in D.seeded_slice(rows, "v", 10).collect()}
     assert a == {r["v"] for r in D.seeded_slice(rows.repartition(7), "v", 10).collect()} and len(a) == 10
 
@@ -182,3 +228,34 @@ def test_harness_results_are_imported(spark, tmp_path):
     got = {r["example_id"]: r for r in parity.import_harness(spark, str(tmp_path / "h.jsonl"), "run-h").collect()}
     assert got["arc-1"]["correct"] is True and json.loads(got["arc-1"]["detail_json"])["answer_index"] == 2
     assert got["1"]["correct"] is False and got["1"]["framework"] == "lm_eval_harness"
+
+
+def test_an_imported_run_is_recorded_and_reported(spark, tmp_path):
+    db = str(tmp_path / "db")
+    lines = [{"doc_id": f"e{i}", "prompt": "p", "target": 0, "resps": [-1.0, -2.0], "resps_norm": [-0.5, -1.0], "acc": float(i % 2)} for i in range(6)]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    lines[1]["acc"], lines[1]["prompt"] = 0.0, "other"
+    lines[3]["acc"] = 0.0
+    (tmp_path / "b.jsonl").write_text("\n".join(map(json.dumps, lines[:5])))
+    for name, more in (("a", []), ("b", ["--framework", "other_harness", "--model", "pythia-70m", "--dataset", "arc_easy", "--split", "test"])):
+        assert cli.main(["import", "--db", db, "--file", str(tmp_path / f"{name}.jsonl"), "--run", name, *more], spark) == 0
+    run = Warehouse(spark, db).get_run("b")
+    assert (run["framework"], run["model_id"], run["status"], run["n_examples"], run["metrics"]) == ("other_harness", "pythia-70m", "done", 5, {"acc": 0.0})
+    assert Warehouse(spark, db).get_run("a")["framework"] == "lm_eval_harness"
+    assert cli.main(["show", "--db", db, "--run", "a"], spark) == 0
+    report = tmp_path / "report.md"
+    assert cli.main(["parity", "--db", db, "--a", "a", "--b", "b", "--report", str(report)], spark) == 1  # one difference is unexplained
+    text = report.read_text()
+    assert "3 of 6 examples agree" in text and "| PROMPT_FORMAT | 1 |" in text and "## DATA_MISMATCH\n\n- e5" in text and "| UNEXPLAINED | 1 |" in text and "fails" in text
+    assert cli.main(["parity", "--db", db, "--a", "a", "--b", "nobody"], spark) == 1
+
+
+def test_an_answer_written_later_wins(spark, tmp_path):
+    db = Warehouse(spark, str(tmp_path / "cache"))
+    asked = spark.createDataFrame([("h", "q")], "request_hash string, prompt string")
+    for value in (-1.0, -2.0):
+        row = spark.createDataFrame([("h", (value, 1, True, None, None, None), int(-value), "m", "r")], store._CACHE)
+        row.write.mode("append").partitionBy("model_id", "revision").parquet(f"{db.root}/predictions")
+    cache = store.PredictionCache(db)
+    got = cache.scorer(lambda rows: rows, "m", "r")(asked).first()
+    assert got["answer"]["loglik"] == -2.0 and (cache.hits, cache.misses) == (1, 0)
