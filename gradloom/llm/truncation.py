@@ -159,12 +159,12 @@ def truncated(predictions: DataFrame) -> DataFrame:
     A request with several stored values is cut if one of them is. Equal generations are judged once; only their digests are joined back.
     A token of the limit is a word between white space.
     """
-    gens = generations(predictions).filter("request_hash is not null")
-    whole = gens.filter("not broken and trim(generation) <> ''").withColumn("id", F.unhex(F.md5("generation")))
+    gens = generations(predictions).filter("request_hash is not null and (broken or trim(generation) <> '')").withColumn("id", F.unhex(F.md5("generation")))
+    whole = gens.filter("not broken")
     n_words = F.size(F.split(F.trim("generation"), r"\s+"))
     texts = whole.groupBy(F.col("generation").alias("text")).agg(F.coalesce(F.max(n_words >= F.col("limit_tokens")), F.lit(False)).alias("at_limit"))
     texts = texts.withColumn("id", F.unhex(F.md5("text")))
-    asked = whole.select("request_hash", "model_id", "id").distinct()
-    judged = asked.join(cut_off(texts), "id").select("request_hash", "model_id", "cut", "evidence")
-    broken = gens.filter("broken").select("request_hash", "model_id", F.lit(True).alias("cut"), F.lit("mark").alias("evidence"))
-    return judged.unionByName(broken).groupBy("request_hash", "model_id").agg(F.max("cut").alias("cut"), F.max_by("evidence", "cut").alias("evidence"))
+    # A broken payload has no text and hence no digest; it is cut by itself.
+    asked = gens.select("request_hash", "model_id", "id").distinct()
+    judged = asked.join(cut_off(texts), "id", "left").select("request_hash", "model_id", F.coalesce("cut", F.lit(True)).alias("cut"), F.coalesce("evidence", F.lit("mark")).alias("evidence"))
+    return judged.groupBy("request_hash", "model_id").agg(F.max("cut").alias("cut"), F.max_by("evidence", "cut").alias("evidence"))
