@@ -183,38 +183,49 @@ class Lexicon:
         return sorted(s for s, v in shares.items() if v >= SUBJECT_SHARE - 1e-9)
 
 
-def learn(texts: Iterable[str]) -> dict[str, tuple[str, float]]:
-    """The terms grown from the seeds, with subject and purity: words and word pairs that keep company with one subject's terms. ``texts`` as :func:`sentences` gives them.
+def sentence_grams(text: str) -> list[tuple[set[str], set[str]]]:
+    """For each sentence of a text, given as :func:`sentences` gives it, its words and word pairs without digits, which may become terms, and all its grams of up to three words."""
+    out = []
+    for s in text.split(_MARK):
+        words = s.split()
+        if words:
+            short = set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
+            every = short | {" ".join(w) for w in zip(words, words[1:], words[2:])}
+            out.append(({g for g in short if not any(c.isdigit() for c in g)}, every))
+    return out
+
+
+def learn(docs: list[list[tuple[set[str], set[str]]]]) -> dict[str, tuple[str, float]]:
+    """The terms grown from the seeds, with subject and purity: words and word pairs that keep company with one subject's terms. ``docs`` as :func:`sentence_grams` gives them.
 
     Weights aren't made here, since the texts are a sample. A sentence belongs to a subject if its known terms are of that subject alone; terms found so join for a second round.
     """
-    split = [[s.split() for s in t.split(_MARK)] for t in texts if t]
+    n: Counter = Counter()
+    in_docs: Counter = Counter()
+    for d in docs:
+        mine: set[str] = set()
+        for short, _ in d:
+            n.update(short)
+            mine |= short
+        in_docs.update(mine)
     known = {t: (s, 1.0) for t, s in seeds()}
     for _ in range(2):
         by: dict[str, Counter] = defaultdict(Counter)
-        docs: dict[str, int] = Counter()
-        n: dict[str, int] = Counter()
-        for d in split:
-            mine: set[str] = set()
-            for words in d:
-                grams = set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])} | {" ".join(w) for w in zip(words, words[1:], words[2:])}
-                of = {g: known[g][0] for g in grams if g in known}
+        for d in docs:
+            for short, every in d:
+                of = {g: known[g][0] for g in every & known.keys()}
                 subjects = set(of.values())
-                for g in grams:
-                    if g.count(" ") < 2 and not any(c.isdigit() for c in g):
-                        n[g] += 1
-                        others = {s for k, s in of.items() if k != g and k not in g and g not in k}
-                        if len(others) == 1 and len(subjects) <= 1 + (g in of):
-                            by[g][next(iter(others))] += 1
-                        elif others:
-                            by[g][""] += 1
-                mine |= grams
-            docs.update(g for g in mine if g.count(" ") < 2)
+                for g in short if of else ():
+                    others = {s for k, s in of.items() if k != g and k not in g and g not in k}
+                    if len(others) == 1 and len(subjects) <= 1 + (g in of):
+                        by[g][next(iter(others))] += 1
+                    elif others:
+                        by[g][""] += 1
         grown = {}
         for g, c in by.items():
             s, k = c.most_common(1)[0]
             seen, words = sum(c.values()), g.split()
-            if not s or seen < LEARN_SENTENCES or docs[g] < LEARN_DOCS or k < LEARN_PURITY * seen or len(g) < 3:
+            if not s or seen < LEARN_SENTENCES or in_docs[g] < LEARN_DOCS or k < LEARN_PURITY * seen or len(g) < 3:
                 continue
             if any(w in _COMMON for w in words) or k < LEARN_ALONE * n[g]:
                 continue
@@ -234,15 +245,15 @@ _COMMON = frozenset(
 )
 
 
-def held_out(terms: dict[str, tuple[str, float]], labelled: list[tuple[str, set[str]]]) -> list[tuple[list[list[int]], set[str]]]:
+def held_out(terms: dict[str, tuple[str, float]], labelled: list[tuple[str, set[str]]], grams: list[list[tuple[set[str], set[str]]]]) -> list[tuple[list[list[int]], set[str]]]:
     """The terms found in each labelled text, as :meth:`Lexicon.found`, of those only that are known without the labelled texts of its half.
 
-    ``labelled``: texts as :func:`sentences` gives them, with their labels. So no text has a say in the terms that it is judged by.
+    ``labelled``: texts as :func:`sentences` gives them, with their labels; ``grams``: their :func:`sentence_grams`. So no text has a say in the terms that it is judged by.
     """
     number = {t: k for k, t in enumerate(sorted(terms))}
     out: list[tuple[list[list[int]], set[str]]] = [([], set())] * len(labelled)
     for half in (0, 1):
-        known = learn(t for t, _ in labelled[1 - half :: 2])
+        known = learn(grams[1 - half :: 2])
         finder = Lexicon({t: terms[t] for t in known if t in terms}, 0.0)
         own = [number[t] for t in finder.names]
         for k in range(half, len(labelled), 2):
@@ -318,13 +329,14 @@ def fitted_with_hits(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, DataF
     rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").filter("text is not null").collect()
     rows.sort(key=lambda r: r["doc_id"])
     texts = [(sentences(r["text"]), set(r["subjects"])) for r in rows]
-    pure = learn(t for t, _ in texts)
+    grams = [sentence_grams(t) for t, _ in texts]
+    pure = learn(grams)
     finder = Lexicon(pure, 0.0)
     hits = materialise(term_hits(docs, finder), "subject_hits")
     total = hits.agg(F.sum("sentences")).first()[0] or 0
     met = {r["term"]: r["n"] for r in hits.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
     terms = {t: (pure[t][0], weigh(t, met.get(number, 0), total, pure[t][1])) for number, t in enumerate(finder.names)}
-    return calibrated(terms, held_out(terms, texts)), hits
+    return calibrated(terms, held_out(terms, texts, grams)), hits
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Lexicon:

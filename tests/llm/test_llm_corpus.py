@@ -287,6 +287,25 @@ def test_leaks_whole_partial_and_altered(spark):
     assert leaks(spark, []) == set()
 
 
+def test_items_in_several_blocks_and_passes(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(leakage, "PASS_BLOCKS", 2)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(7)]
+    docs = spark.createDataFrame([(i, "before " + t + " after") for i, t in items] + [(99, "nothing")], "doc_id bigint, text string")
+    got = leakage.leaked(docs, "doc_id", "text", spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text")
+    assert sorted(map(tuple, got.collect())) == [(i, i) for i in range(7)]
+
+
+def test_dense_places():
+    rng = np.random.default_rng(3)
+    good, lengths = rng.random((400, 45)) < 0.85, rng.integers(18, 46, 400)
+
+    def brute(row, n):
+        return any(8 * (~row[a:b]).sum() <= b - a for a in range(n) for b in range(a + 18, n + 1))
+
+    assert leakage.dense(good, lengths).tolist() == [brute(r, n) for r, n in zip(good, lengths)]
+
+
 def test_verification_is_exact():
     rng = np.random.default_rng(0)
     item = np.arange(1, 41, dtype=np.int32)

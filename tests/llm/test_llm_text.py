@@ -33,6 +33,35 @@ def test_a_long_chain_counts_whole_and_long_texts_are_linear():
     assert repetition.repeated_share("word " * 200_000) > 0.99
 
 
+def test_chains_are_found_in_whole_batches():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab é\n") for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["", "xyz" * 5, "xyz" * 4, "0123456789abcdef" * 5, "0123456789abcdefg" * 5, "aaaa", "aaaaa"]
+    may = repetition.with_chains(texts)
+    for text, flag in zip(texts, may):
+        assert flag or repetition._CHAIN.search(text) is None
+        assert repetition.repeated_share(text, bool(flag)) == repetition.repeated_share(text)
+    assert not may[-2] and not may[-3] and not may[-5] and may[-1] and may[-4] and may[-6]
+    assert not repetition.with_chains([]).size
+
+
+def test_failing_documents_come_through_their_hosts(spark, capsys):
+    rows = [(f"b{i}", "bad", "again and again the same " * 5) for i in range(3)] + [("g", "good", "nothing is said twice in here")] + [("n", None, "round and round it goes " * 4)]
+    docs = spark.createDataFrame(rows, "id string, h string, text string")
+    found = repetition.failing(docs, "id", "text", "h")
+    assert {r["doc_id"] for r in found.collect()} == {"b0", "b1", "b2", "n"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan or "Join LeftOuter" in plan
+    assert repetition.failing(docs.filter("false"), "id", "text", "h").count() == 0
+
+
+def test_sentences_and_paragraphs(spark):
+    texts = [None, "", "123", "One thing. One thing! Another.", "same line\nsame line\nother", "a b. c d\nA B. C, D"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = frame.select(repetition.repeated_parts(F.col("t"), repetition.SENTENCE_ENDS), repetition.repeated_parts(F.col("t"), repetition.PARAGRAPH_ENDS)).collect()
+    want = [(None, None), (0, 0), (0, 0), (9 / 25, 0), (9 / 23, 9 / 23), (0.5, 0.5)]
+    assert [tuple(r) for r in got] == [tuple(x if x is None else pytest.approx(x) for x in w) for w in want]
+
+
 def test_hosts_are_shrunk_and_joined_back(spark):
     rows = [(f"g{i}", "good", f"text number {i} is of its own kind and says nothing twice") for i in range(40)]
     rows += [(f"b{i}", "bad", "again and again the same " * 5) for i in range(20)] + [("n", None, "a lone one"), ("x", "good", None), ("g0", "good", rows[0][2])]
@@ -112,6 +141,21 @@ def payload(generation):
     return json.dumps({"logliks": None, "token_nlls": None, "generation": generation, "n_bytes": None, "is_greedy_matches": None})
 
 
+def test_every_text_says_what_judged_it(spark):
+    texts = [*corpus(), "We count 3 boxes in the", "We count 3 boxes in the hall. Then we ad", "Final answer: 12", "cut…", "", "The end was cal-"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: (r["cut"], r["evidence"]) for r in truncation.cut_off(rows).collect()}
+    assert [got[60 + i] for i in range(6)] == [(True, "3"), (True, "begun"), (False, "3"), (True, "mark"), (False, "blank"), (True, "mark")]
+
+
+def test_a_text_at_its_limit_must_end_more_often(spark):
+    # the words end a text in a fifth of their uses and more, but in less than a quarter
+    texts = ["so we go on and on"] * 0 + [f"w{i} so we stop here and add {i} more" for i in range(14)] + [f"v{i} x{i} y{i} so we stop here" for i in range(4)]
+    rows = spark.createDataFrame([(i, t, limited) for i, t in enumerate(texts) for limited in [i == 17]], "id int, text string, at_limit boolean")
+    got = {r["id"]: r["cut"] for r in truncation.cut_off(rows).collect()}
+    assert (3 / 17 < truncation.END_SHARE) == got[16] and got[17]
+
+
 def test_requests(spark):
     rows = [(f"r{i}", "m", payload(t)) for i, t in enumerate(corpus(30))] * 2
     rows += [("cut", "m", payload("We count 3 boxes in the")), ("broken", "m", payload("We count 3 boxes.")[:70]), ("none", "m", payload(None)), ("empty", "m", payload("")), ("lik", "m", '{"logliks": [1.0, 2'), (None, "m", payload("x")), ("nul", "m", None)]
