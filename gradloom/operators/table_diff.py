@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
+from ..session import materialise, partitions_for
 
 #: Rows that the rolling hash spans, and the mean length of a chunk.
 ROLL_ROWS = 4
@@ -98,10 +98,10 @@ def latest_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in order + rest])
 
 
-def content_chunks(rows: DataFrame, roll_rows: int = ROLL_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def content_chunks(rows: DataFrame, roll_rows: int = ROLL_ROWS, chunk_rows: int = CHUNK_ROWS, ranges: int | None = None) -> DataFrame:
     """Name each row's chunk. ``rows``: ``grp, key, side, fp``; adds ``chunk``.
 
-    Rows of both sides are range-partitioned together by ``(grp, key)``, so a group that holds
+    Rows of both sides are cut into ``ranges`` (usually as many as a shuffle has partitions) together by ``(grp, key)``, so a group that holds
     a third of all rows spreads over many tasks, and the borders of tasks fall on the same keys
     on both sides. Only a few rolling hashes are held at a time. A chunk is named by its first key,
     therefore one chunk never spans two tasks.
@@ -130,18 +130,18 @@ def content_chunks(rows: DataFrame, roll_rows: int = ROLL_ROWS, chunk_rows: int
             )
 
     typed = rows.select("grp", "key", F.col("side").cast("int").alias("side"), "fp")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = typed.repartitionByRange(parts, "grp", "key").sortWithinPartitions("grp", "key", "side")
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = typed.repartitionByRange(ranges, "grp", "key").sortWithinPartitions("grp", "key", "side")
     return ordered.mapInArrow(cut, "grp string, key string, side int, fp bigint, chunk string")
 
 
-def differing_keys(rows: DataFrame) -> DataFrame:
+def differing_keys(rows: DataFrame, ranges: int | None = None) -> DataFrame:
     """Keys of chunks without an equal chunk on the other side: ``grp, key``, distinct.
 
     The named rows, some bytes each, are written first: ranges are drawn from a sample, so chunks named in a second
     run of the stage could have other borders than those that were matched.
     """
-    named = materialise(content_chunks(rows), "parity-chunks")
+    named = materialise(content_chunks(rows, ranges=ranges), "parity-chunks")
     chunks = named.groupBy("grp", "chunk", "side").agg(
         F.sum(F.xxhash64("key", "fp").cast("decimal(38,0)")).alias("total"),
         F.bit_xor(F.xxhash64("fp", "key")).alias("mix"),
@@ -219,7 +219,7 @@ def parity_differences(runs: DataFrame, results: DataFrame) -> DataFrame:
         ["recorded_at"],
     )
     rows = prints.join(sides, "run_id").select("grp", F.col("example_id").alias("key"), "side", "fp")
-    open_keys = materialise(differing_keys(rows), "parity-keys")
+    open_keys = materialise(differing_keys(rows, partitions_for(results)), "parity-keys")
     # Only now, for the few keys left, are the values read.
     # A run may be repeated by several harness runs, so a key is open for the one pair only.
     wanted_of = sides.join(open_keys, "grp").select("run_id", F.col("key").alias("example_id"), "grp", "side")
