@@ -10,6 +10,7 @@ from functools import cached_property
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,24 +31,34 @@ THRESHOLDS = (1.2, 1.5, 1.8, 2.1, 2.4)
 LEAST_GAIN = 3
 
 _OPTIONS = re.compile(r"(?:(?:^|\s)[A-E][.)]\s+[^?!\n]{1,90}?(?=\s[A-E][.)]\s|\n|$|[.]\s)[.]?){2,}")
-_QUESTION = re.compile(r"(?:which|who|what|how would|how many|how much|where)\b[^.!?\n]*\?", re.I)
+_QUESTION = re.compile(r"\b(?:which|who|what|how would|how many|how much|where)\b", re.I)
 #: Characters of a line at most that stands alone without ending a sentence: a menu, a heading, a button.
 LONE_LINE = 80
 _SENTENCE_END = frozenset(".!?:;,\"”’»)]")
 _MARK = "\x1e"
-_STOP = re.compile(r"[.!?][\"”’»)\]]*(?:\s+|$)|\n+")
-_WORDS = re.compile(r"[^\w\x1e]+|_")
+#: For Arrow's regular expressions: what ends a sentence, and what parts words.
+_STOP = r"[.!?][\"\x{201d}\x{2019}\x{bb})\]]*(?:[\s\pZ]+|$)|\n+"
+_BETWEEN = r"[^\pL\pN\x{1e}]+"
+
+
+def all_sentences(texts: pa.Array) -> pa.Array:
+    """Each text's own sentences in lower case, words parted by single spaces, sentences by a mark; quoted questions and page furniture left out. Null gives null."""
+
+    def own(text: str | None) -> str | None:
+        if text is None:
+            return None
+        if "?" in text:
+            text = drop_questions(_OPTIONS.sub("\n", text))
+        return drop_lone_lines(text) if "\n" in text else text
+
+    plain = pc.utf8_lower(pa.array([own(t) for t in texts.to_pylist()], pa.string()))
+    words = pc.replace_substring_regex(pc.replace_substring_regex(plain, _STOP, f" {_MARK} "), _BETWEEN, " ")
+    return pc.binary_join_element_wise("", words, "", " ")
 
 
 def sentences(text: str) -> str:
-    """The text's own sentences in lower case, words parted by single spaces, sentences by a mark; quoted questions and page furniture left out."""
-    if "?" in text:
-        text = _OPTIONS.sub("\n", text)
-        text = drop_questions(text)
-    if "\n" in text:
-        text = drop_lone_lines(text)
-    text = _STOP.sub(" \x1e ", text.lower())
-    return " " + _WORDS.sub(" ", text) + " "
+    """:func:`all_sentences` of one text."""
+    return all_sentences(pa.array([text], pa.string()))[0].as_py()
 
 
 def drop_lone_lines(text: str) -> str:
@@ -69,17 +80,21 @@ def drop_lone_lines(text: str) -> str:
 def drop_questions(text: str) -> str:
     """The text without test questions: an interrogative sentence, with the sentence before it if the question is short and refers to that."""
     out, last = [], 0
-    for m in _QUESTION.finditer(text):
-        a = m.start()
-        before = text[last:a]
-        head = before.rstrip()
-        if before and head and head[-1] not in ".!?:\n\"”" and not before.endswith("\n"):
-            a = last + max(before.rfind(c) + 1 for c in ".!?\n")  # the question word stands inside the sentence
-        elif head and len(m.group().split()) < 9 and head[-1] in ".!?":
-            cut = max(head[:-1].rfind(c) for c in ".!?\n") + 1
-            a = last + cut
-        out.append(text[last:a])
-        last = m.end()
+    at = text.find("?")
+    while at >= 0:
+        begin = max(last, *(text.rfind(c, last, at) + 1 for c in ".!?\n"))
+        m = _QUESTION.search(text, begin, at)
+        if m:
+            a = m.start()
+            before = text[last:a]
+            head = before.rstrip()
+            if head and head[-1] not in ".!?:\n\"”" and not before.endswith("\n"):
+                a = begin  # the question word stands inside the sentence
+            elif head and len(text[a:at].split()) < 9 and head[-1] in ".!?":
+                a = last + max(head[:-1].rfind(c) for c in ".!?\n") + 1
+            out.append(text[last:a])
+            last = at + 1
+        at = text.find("?", at + 1)
     return "".join(out) + text[last:] if out else text
 
 
@@ -306,8 +321,7 @@ def term_hits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [batch.column(0).to_pylist(), [], [], []]
-            for text in batch.column(1):
-                own = sentences(text.as_py())
+            for own in all_sentences(batch.column(1)).to_pylist():
                 hits, terms = lexicon.found(own)
                 cols[1].append(hits)
                 cols[2].append(terms)
@@ -328,7 +342,7 @@ def fitted_with_hits(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, DataF
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_SAMPLE)
     rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").filter("text is not null").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    texts = [(sentences(r["text"]), set(r["subjects"])) for r in rows]
+    texts = list(zip(all_sentences(pa.array([r["text"] for r in rows], pa.string())).to_pylist(), (set(r["subjects"]) for r in rows)))
     grams = [sentence_grams(t) for t, _ in texts]
     pure = learn(grams)
     finder = Lexicon(pure, 0.0)
