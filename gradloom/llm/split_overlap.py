@@ -146,7 +146,7 @@ def cross_prefixes(suffixes: DataFrame) -> DataFrame:
             yield from scan_range(TaskContext.get().partitionId(), rows).combine_chunks().to_batches()
 
     columns = ["grp", "suffix", "text_id", "pos", "in_train", "in_eval"]
-    ordered = suffixes.select(columns).repartitionByRange(partitions_for(suffixes, 4), "grp", "suffix", "text_id").sortWithinPartitions("grp", "suffix", "text_id")
+    ordered = suffixes.select(columns).repartitionByRange(partitions_for(suffixes, 32), "grp", "suffix", "text_id").sortWithinPartitions("grp", "suffix", "text_id")
     array = materialise(ordered.mapInArrow(scan, _ARRAY), "overlap-array")
     ranges = sorted((r["part"], r["range"].asDict(recursive=True)) for r in array.filter("range is not null").select("part", "range").collect())
     borders = suffixes.sparkSession.createDataFrame(carried(ranges), "part int, carry array<int>")
