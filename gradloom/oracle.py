@@ -246,5 +246,9 @@ ORACLE = {
         z AS (SELECT context AS prompt, ' ' || target AS cont, NULL AS budget FROM c UNION ALL SELECT context, NULL, greatest(len({_words('target')}), 1) * 4 FROM c),
         t AS (SELECT 'loglik_mc' AS evaluator, count(*) AS n, count(DISTINCT {{'p': prompt, 'c': cont}}) AS d FROM m UNION ALL SELECT 'cloze', count(*), count(DISTINCT {{'p': prompt, 'c': cont, 'b': budget}}) FROM z)
         SELECT evaluator, attempt::INT AS attempt, CASE attempt WHEN 1 THEN n - d ELSE n END AS hits, CASE attempt WHEN 1 THEN d ELSE 0 END AS misses, 0::BIGINT AS unanswered FROM t, (VALUES (1), (2)) a(attempt)""",
+    "sweep_executed": f"""WITH n AS (SELECT 'arc_easy' AS dataset, 'loglik_mc' AS evaluator, count(*) AS n FROM ({_load("arc_easy", "arc_easy", "choices")}) WHERE ord < 20 AND len(choices) > 0
+          UNION ALL SELECT 'gsm8k', 'generative', count(*) FROM ({_load("gsm8k", "gsm8k", "question")}) WHERE ord < 20
+          UNION ALL SELECT 'wikitext103', 'perplexity', count(*) FROM ({_load("wikitext103", "wikitext", "text", where=_BODY)}) WHERE ord < 20)
+        SELECT 'offline-7' AS model_id, revision, dataset, evaluator, 'done' AS status, n AS n_examples, n AS n_results, 6::BIGINT AS n_skipped FROM n, (VALUES ('main'), ('step1000')) r(revision)""",
     "json_detail": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
 }

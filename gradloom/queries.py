@@ -391,6 +391,21 @@ def cached_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "evaluator string, attempt int, hits bigint, misses bigint, unanswered bigint")
 
 
+def sweep_executed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small sweep run into a fresh warehouse and started again, by run: what was recorded, how many results it has, and how many runs the second start left out."""
+    spec = sweep.Spec(
+        [(MODEL, [REVISION, "step1000"])],
+        [sweep.Target("arc_easy", "loglik_mc", "test", "arc_easy/mc_letter_v1"), sweep.Target("gsm8k", "generative", "test", "gsm8k/gen_v1"), sweep.Target("wikitext103", "perplexity", "test")],
+        limit=20,
+    )
+    warehouse = store.Warehouse(spark, work_dir(spark))
+    first = sweep.run_sweep(warehouse, sf_dir, spec, lambda model, revision: _SCORE)
+    again = sweep.run_sweep(warehouse, sf_dir, spec, lambda model, revision: _SCORE)
+    results = spark.read.parquet(f"{warehouse.root}/example_results").groupBy("run_id").agg(F.count("*").alias("n_results"))
+    runs = warehouse.runs().filter(F.col("run_id").isin(first.executed)).join(results, "run_id", "left")
+    return runs.select("model_id", "revision", "dataset", "evaluator", "status", F.col("n_examples").cast("bigint").alias("n_examples"), "n_results", F.lit(again.skipped).cast("bigint").alias("n_skipped"))
+
+
 def json_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A number out of JSON text."""
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
@@ -410,6 +425,6 @@ QUERIES = {
         mc_render_letter, mc_render_option_text, fewshot_prompts, mc_results, mc_acc_by_variant, acc_null_is_wrong, extract_number, stop_truncate, generative_results,
         cache_counters, cache_misses, cache_hits, sweep_plan, resume_todo, latest_run, failed_runs, grid_last_write, scaling_series, headline_series, sensitivity_series, trajectory_series,
         model_order, invalidate_dry_run, parity_diff, parity_categories, json_detail,
-        load_arc, load_mmlu, load_wikitext, load_gsm8k, shared_split_ids, normalised_arc, rendered_context, gold_numbers, series_points, seeded_demonstrations, cached_rerun,
+        load_arc, load_mmlu, load_wikitext, load_gsm8k, shared_split_ids, normalised_arc, rendered_context, gold_numbers, series_points, seeded_demonstrations, cached_rerun, sweep_executed,
     )
 }
