@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import spread
 
@@ -249,7 +249,7 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     wanted = items.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(item_id, item_text).distinct().orderBy(item_id, item_text)
     rows = docs.filter(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = spread(rows)
-    id_type = pa.int64() if isinstance(schema[1].dataType, T.LongType) else None
+    id_type = to_arrow_type(schema[1].dataType)
 
     def over(shared: list[Broadcast]) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -294,6 +294,9 @@ def test_items_in_several_blocks_and_passes(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "before " + t + " after") for i, t in items] + [(99, "nothing")], "doc_id bigint, text string")
     got = leakage.leaked(docs, "doc_id", "text", spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text")
     assert sorted(map(tuple, got.collect())) == [(i, i) for i in range(7)]
+    named = spark.createDataFrame([(f"i{i}", t) for i, t in items], "name string, text string")
+    got = leakage.leaked(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), "doc_id", "text", named, "name", "text")
+    assert sorted(map(tuple, got.collect())) == [(f"d{i}", f"i{i}") for i in range(7)]
 
 
 def test_dense_places():
