@@ -25,6 +25,8 @@ SHARD_CHARS, BUCKETS = 8_000_000, 65_536
 _LONG_WORD = r"(?<!\p{L})(\p{L}{9,24})(?!\p{L})"
 #: BM25's constants.
 K1, B = 1.2, 0.75
+#: Terms that one item in so many has are added up as whole rows of scores.
+DENSE = 8
 #: Neighbours put in order at a time; the next block follows as long as there is room, so no result hangs on it.
 BLOCK = 64
 
@@ -66,22 +68,36 @@ class ShardIndex:
         order = np.argsort(term, kind="stable")
         self.term, self.n_terms = term, len(df)
         self.own = np.searchsorted(item, np.arange(n + 1))
+        # A row of scores for each term that many items have: not more rows than DENSE times the terms of an item on average.
+        often = np.flatnonzero(df * DENSE > n)
+        self.row = np.full(len(df), -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), n))
+        dense = self.row[term] >= 0
+        self.rows[self.row[term[dense]], item[dense]] = weight[dense]
+        order = order[self.row[term[order]] < 0]
         self._set((term[order] << 32) + item[order], weight[order])
 
     def scores(self, seed: int, below: int) -> np.ndarray:
         """The scores of the items numbered ``below``, for all the seed's terms that others share; repeated rows score as any."""
         terms = self.term[self.own[seed] : self.own[seed + 1]].astype(np.int64)
+        often = self.row[terms]
+        out = np.zeros(below)
+        for r in often[often >= 0].tolist():
+            out += self.rows[r, :below]
+        terms = terms[often < 0]
         first = self.begin[terms]
         count = np.searchsorted(self.keys, (terms << 32) + below) - first
         terms, first, count = terms[count > 0], first[count > 0], count[count > 0]
         if not len(terms):
-            return np.zeros(below)
+            return out
         spans = [slice(a, a + k) for a, k in zip(first.tolist(), count.tolist())]
-        return np.bincount(np.concatenate([self.items[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), below)
+        return out + np.bincount(np.concatenate([self.items[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), below)
 
     def drop(self, used: np.ndarray) -> None:
         """Forget where the used items stand; statistics stay those of all items."""
         keep = ~used[self.items]
+        self.rows[:, used] = 0
         self._set(self.keys[keep], self.weights[keep])
 
     def _set(self, keys: np.ndarray, weights: np.ndarray) -> None:

@@ -261,6 +261,23 @@ def test_packing_asks_for_every_shared_term():
     assert after[3] == 0 and (np.delete(after, 3) == np.delete(before, 3)).all()
 
 
+def test_scores_are_those_of_bm25():
+    rng = np.random.default_rng(6)
+    tokens = [np.minimum(rng.geometric(0.05, rng.integers(1, 60)), 80) for _ in range(50)]  # frequent and rare tokens
+    index = packing.ShardIndex(tokens)
+    assert 0 < len(index.rows) < index.n_terms and len(index.items)
+    size = np.mean([len(t) for t in tokens])
+    for seed in (0, 7, 49):
+        want = np.zeros(50)
+        for term in set(tokens[seed].tolist()):
+            df = sum(term in t for t in tokens)
+            idf = np.log1p((50 - df + 0.5) / (df + 0.5))
+            for i, t in enumerate(tokens):
+                tf = (t == term).sum()
+                want[i] += idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(t) / size))
+        assert np.allclose(index.scores(seed, 50), want) and np.allclose(index.scores(seed, 20), want[:20])
+
+
 # Problem 9
 
 ITEM = "at gondvale a badger buried 78 seeds before the shaky frost while hiawisth slept from a glass hut what did the crab group most likely gain from these two seasons"
