@@ -30,8 +30,11 @@ STEPS, WALKS, SAMPLES, PLACES = 40, 12, 4, 6
 #: Item bigrams that a window must hold. No leak is lost by it: every leak has 18 item words with at most two edits, and an
 #: edit spoils two of the 17 bigrams of the words in their place at most.
 LEAST_BIGRAMS = WINDOW - 1 - 2 * (WINDOW // EDIT_SHARE)
-#: Items of one index, some MB, and indexes that one pass over the documents searches; more items take more passes.
-BLOCK_ITEMS, PASS_BLOCKS = 4000, 16
+#: Words of a part of an item. Every leak has one of fewer than twice 18 words within (of two halves, one has no more edits for its
+#: length than the whole), so parts that overlap by as many lose none.
+PART = 128
+#: Items and characters of one index, some MB, and indexes that one pass over the documents searches; more items take more passes.
+BLOCK_ITEMS, BLOCK_CHARS, PASS_BLOCKS = 4000, 2_000_000, 16
 #: Insertions and omissions by which a leak may leave the shift at which it was met: one in eight of twice 18 words, and two for the place met.
 DRIFT = (2 * WINDOW - 1) // EDIT_SHARE + WINDOW // EDIT_SHARE
 #: Documents whose words are one array.
@@ -83,7 +86,8 @@ class LeakIndex:
 
     def __init__(self, items: list[tuple[int, str]]):
         words = [(i, leak_words(t)) for i, t in items]
-        words = [(i, w) for i, w in words if len(w) >= WINDOW]
+        step = PART - 2 * WINDOW + 1
+        words = [(i, w[a : a + PART]) for i, w in words if len(w) >= WINDOW for a in range(0, max(1, len(w) - PART + step), step)]
         self.vocab: dict[str, int] = {}
         for _, w in words:
             for x in w:
@@ -98,7 +102,7 @@ class LeakIndex:
         for k, t in enumerate(self.texts):
             self.matrix[k, : len(t)] = t
         rng = np.random.default_rng(_SEED)
-        self.bits = rng.integers(0, 2, (WALKS, STEPS, size), dtype=np.int64)
+        self.bits = np.stack([rng.integers(0, 2, (STEPS, size)).astype(np.int8) for _ in range(WALKS)])
         self.places = np.stack([[np.sort(rng.choice(STEPS, PLACES, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)])
         pairs = [t[:-1].astype(np.int64) * size + t[1:] for t in self.texts]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
@@ -117,6 +121,21 @@ class LeakIndex:
     def slot(keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
+    def alike(self, ids: np.ndarray, position: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct places met at which all but three of the window's words lie within three words of their place.
+
+        Of the 18 words of a leak with at most two edits all but two do, within two; so only chance meetings fall out, which common openings make many.
+        """
+        n = max(1, len(self.owner))
+        position, window = np.divmod(np.unique(position * n + window), n)
+        e = WINDOW // EDIT_SHARE + 1
+        own = self.matrix[self.owner[window][:, None], self.offset[window][:, None] + np.arange(WINDOW)]
+        near = np.zeros(own.shape, bool)
+        for d in range(-e, e + 1):
+            near |= ids.take(position[:, None] + np.arange(d, d + WINDOW), mode="clip") == own
+        keep = near.sum(axis=1) >= WINDOW - e
+        return position[keep], window[keep]
+
     def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``ids``, a run of documents' words, and the item windows that share a table's hash with them."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -204,11 +223,12 @@ def leaks(doc: np.ndarray, item: np.ndarray) -> bool:
 def search_batch(index: LeakIndex, lists: pa.ListArray) -> list[tuple[int, int]]:
     """``(number of the text, item)`` of every leak in a batch of texts, given as lists of words.
 
-    Places met in the tables are judged all at once: changes alone at one shift make a leak, or else the words that any shift nearby
+    Places met in the tables are judged all at once: the windows met must be alike; changes alone at one shift make a leak, or else the words that any shift nearby
     lays over each other must be dense enough, which few places pass that hold none. Those are verified exactly.
     """
     words = Words(index, lists)
     position, window = index.candidates(words.ids)
+    position, window = index.alike(words.ids, position, window)
     if not len(position):
         return []
     text, owner = words.text[position].astype(np.int64), index.owner[window].astype(np.int64)
@@ -233,7 +253,7 @@ def search_batch(index: LeakIndex, lists: pa.ListArray) -> list[tuple[int, int]]
             lo, hi = int(words.begin[t]), int(words.begin[t + 1]) - 1
             if leaks(words.ids[max(lo, s - DRIFT) : min(hi, s + len(item) + DRIFT)], item):
                 found.add(p)
-    return [(p // n, index.items[p % n]) for p in sorted(found)]
+    return sorted({(p // n, index.items[p % n]) for p in found})
 
 
 def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
@@ -270,11 +290,13 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
         part = over(shared)
         return part if found is None else found.unionByName(part)
 
+    chars = 0
     for row in wanted.toLocalIterator():
         block.append((row[0], row[1]))
-        if len(block) == BLOCK_ITEMS:
+        chars += len(row[1])
+        if len(block) == BLOCK_ITEMS or chars >= BLOCK_CHARS:
             shared.append(spark.sparkContext.broadcast(LeakIndex(block)))
-            block = []
+            block, chars = [], 0
             if len(shared) == PASS_BLOCKS:
                 found, shared = passed(), []
     if block or found is None and not shared:
