@@ -80,9 +80,9 @@ def drop_lone_lines(text: str) -> str:
 def drop_questions(text: str) -> str:
     """The text without test questions: an interrogative sentence, with the sentence before it if the question is short and refers to that."""
     out, last = [], 0
-    at = text.find("?")
+    at, begin = text.find("?"), 0
     while at >= 0:
-        begin = max(last, *(text.rfind(c, last, at) + 1 for c in ".!?\n"))
+        begin = max(begin, *(text.rfind(c, begin, at) + 1 for c in ".!\n"))  # never further back than the question mark before
         m = _QUESTION.search(text, begin, at)
         if m:
             a = m.start()
@@ -94,7 +94,8 @@ def drop_questions(text: str) -> str:
                 a = last + max(head[:-1].rfind(c) for c in ".!?\n") + 1
             out.append(text[last:a])
             last = at + 1
-        at = text.find("?", at + 1)
+        begin = at + 1
+        at = text.find("?", begin)
     return "".join(out) + text[last:] if out else text
 
 

@@ -316,6 +316,17 @@ def test_items_in_several_blocks_and_passes(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == [(f"d{i}", f"i{i}") for i in range(7)]
 
 
+def test_long_items_are_searched_in_parts(spark):
+    words = [f"w{k}" for k in range(1000)]
+    index = leakage.LeakIndex([(1, " ".join(words)), (2, " ".join(words[:128])), (3, " ".join(words[:129]))])
+    assert index.matrix.shape[1] == leakage.PART and index.items.count(2) == 1 and index.items.count(3) == 2
+    parts = [(t[0], t[-1]) for t, i in zip(index.texts, index.items) if i == 1]  # words are numbered in their order
+    assert all(any(a <= k and k + 34 <= b for a, b in parts) for k in range(1, 967))  # any 35 words in a row stand in one part
+    docs = spark.createDataFrame([(k, "x " + " ".join(words[a : a + 18]) + " y") for k, a in enumerate((0, 90, 100, 500, 982))] + [(9, " ".join(words))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    assert sorted(r["doc_id"] for r in leakage.leaked(docs, "doc_id", "text", items, "item_id", "text").collect()) == [0, 1, 2, 3, 4, 9]
+
+
 def test_dense_places():
     rng = np.random.default_rng(3)
     good, lengths = rng.random((400, 45)) < 0.85, rng.integers(18, 46, 400)
@@ -425,6 +436,15 @@ def test_recurring_lone_terms_count_from_a_fifth_on():
     assert lexicon().subjects(strong * 9 + lone * 2) == lexicon().subjects(strong * 4 + lone) == ["law"]
 
 
+def test_many_question_marks_take_no_time():
+    import time
+
+    began = time.process_time()
+    assert len(subjects.drop_questions("ab? " * 300_000)) == 1_200_000
+    assert time.process_time() - began < 10
+    assert subjects.drop_questions("It fell. Who saw it? Ann did. Is it?").split() == ["Ann", "did.", "Is", "it?"]
+
+
 def test_longer_terms_count_once():
     scores = lexicon().scores(subjects.sentences("The gradient of the training loss fell."))
     assert scores == [{"machine_learning": 2.0}]
